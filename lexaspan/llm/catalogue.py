@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaspan.llm.bpe import encode_texts
+from lexaspan.llm.leakage import find_leaks
 from lexaspan.llm.ledger import copy_pairs, hidden_duplicates
+from lexaspan.llm.spans import shared_shares, shared_spans
 from lexaspan.llm.splitting import split_sequences
 from lexaspan.llm.term_counts import letter_run_counts, term_frequencies, value_counts
 from lexaspan.runtime import materialise, read_table
@@ -59,6 +62,36 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)[1].select(F.col("first_id").alias("seq_id"), F.col("n").alias("copies"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of symbols that another sequence repeats."""
+    return shared_spans(read_table(spark, sf_dir, "index_texts"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each sequence the number of shared spans and the share of it they cover."""
+    texts = read_table(spark, sf_dir, "index_texts")
+    return shared_shares(texts, shared_spans(texts))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's text by byte_bpe_50k."""
+    return encode_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that show 12 or more consecutive words of a test item."""
+    return _p7(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the longest run and the share of the item that leaked."""
+    return _p7(spark, sf_dir).withColumn("share", F.round(F.col("matched") / F.col("item_words"), 6))
+
+
 _P1 = r"""
 WITH q AS (SELECT request_id, query_num, min(query) AS query FROM queries GROUP BY 1, 2),
 d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents WHERE text IS NOT NULL),
@@ -89,6 +122,11 @@ QUERIES = {
     "p2_balanced": p2_balanced,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p5_found": p5_found,
+    "p5_shares": p5_shares,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 SQL = {
     "p1_found": _P1 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
