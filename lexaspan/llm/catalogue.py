@@ -10,6 +10,7 @@ from lexaspan.llm.leakage import find_leaks
 from lexaspan.llm.ledger import copy_pairs, hidden_duplicates
 from lexaspan.llm.spans import shared_shares, shared_spans
 from lexaspan.llm.splitting import split_sequences
+from lexaspan.llm.subjects import assign_subjects
 from lexaspan.llm.term_counts import letter_run_counts, term_frequencies, value_counts
 from lexaspan.runtime import materialise, read_table
 
@@ -92,6 +93,22 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p7(spark, sf_dir).withColumn("share", F.round(F.col("matched") / F.col("item_words"), 6))
 
 
+def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_subjects(*(read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects each revision is about."""
+    return _p8(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents, and documents of that subject alone."""
+    found = _p8(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own"))
+    each = found.select(F.explode("own").alias("subject"), (F.size("own") == 1).cast("int").alias("alone"))
+    return each.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("alone").alias("alone"))
+
+
 _P1 = r"""
 WITH q AS (SELECT request_id, query_num, min(query) AS query FROM queries GROUP BY 1, 2),
 d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents WHERE text IS NOT NULL),
@@ -127,6 +144,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 SQL = {
     "p1_found": _P1 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
