@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexaspan.plans import problems
+from lexaspan.plans import problems, substrings
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**substrings.QUERIES, **problems.QUERIES}
+SQL = {**substrings.SQL, **problems.SQL}
