@@ -140,7 +140,7 @@ def fit_model(tokens: list[list[str]], labels: list[set[int]], subjects: list[st
     df = Counter()
     for t in tokens:
         df.update(set(t))
-    often = sorted((w for w, c in df.items() if c >= 4 and c <= max(4, 0.3 * n) and w not in _STOPS), key=lambda w: (-df[w], w))[:terms]
+    often = sorted((w for w, c in df.items() if c >= 4 and c <= max(4, 0.6 * n) and w not in _STOPS), key=lambda w: (-df[w], w))[:terms]
     vocabulary = {w: i for i, w in enumerate(often)}
     model = SubjectModel(vocabulary, np.zeros((len(vocabulary), k), np.float32), subjects)
     if not n or not vocabulary or not k:
