@@ -125,9 +125,11 @@ def suffix_rows(placed: DataFrame, options: BuildOptions, keep: list[str] | None
     rows = placed.filter(F.length("own") > 0).select("*", F.explode(F.sequence(F.lit(0), F.length("own") - 1)).alias("seq_pos"))
     if options.is_dna and not options.allow_ambiguity:
         rows = rows.filter(symbol_at(F.col("own"), at).isin(*[F.lit(c.encode()) for c in DNA]))
-    whole = F.concat("own", "halo")
     if options.mask:
-        key = options.mask.key(whole, at)
+        # keys that end inside their sequence need no joined copy
+        mask, n = options.mask, options.mask.span
+        edge = F.concat(slice_of(F.col("own"), at, n), F.col("halo"))
+        key = F.when(at + n <= F.length("own"), mask.key(F.col("own"), at)).otherwise(mask.key(edge, F.lit(0)))
     elif options.max_query_len:
         # most keys end inside their sequence and need no joined copy
         m = options.max_query_len
