@@ -12,6 +12,8 @@ from lexaspan.functions.symbols import DELIMITER, DNA, SENTINEL, normalised_byte
 from lexaspan.runtime import materialise, shuffle_partitions
 
 IN_PART = (1 << 33) - 1
+#: Symbols of a sequence that are enumerated at once.
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -116,26 +118,29 @@ def with_surroundings(seqs: DataFrame, options: BuildOptions) -> DataFrame:
     return seqs.join(halo, "number", "left").withColumn("halo", F.coalesce("halo", F.lit(b"")))
 
 
-def suffix_rows(placed: DataFrame, options: BuildOptions, keep: list[str] | None = None) -> DataFrame:
+def suffix_rows(placed: DataFrame, options: BuildOptions, keep: list[str] | None = None, spread: int = 0) -> DataFrame:
     """One row for each indexed position: ``(pos, seq_id, seq_pos, key)`` and the columns in ``keep``.
 
     DNA indexes hold A, C, G, T and the sentinel only, unless ambiguity is allowed.
+    ``spread`` deals the pieces of sequences out over so many partitions first,
+    which a few very long sequences need; it moves the text once.
     """
-    at = F.col("seq_pos")
-    rows = placed.filter(F.length("own") > 0).select("*", F.explode(F.sequence(F.lit(0), F.length("own") - 1)).alias("seq_pos"))
-    if options.is_dna and not options.allow_ambiguity:
-        rows = rows.filter(symbol_at(F.col("own"), at).isin(*[F.lit(c.encode()) for c in DNA]))
-    if options.mask:
-        # keys that end inside their sequence need no joined copy
-        mask, n = options.mask, options.mask.span
-        edge = F.concat(slice_of(F.col("own"), at, n), F.col("halo"))
-        key = F.when(at + n <= F.length("own"), mask.key(F.col("own"), at)).otherwise(mask.key(edge, F.lit(0)))
-    elif options.max_query_len:
-        # most keys end inside their sequence and need no joined copy
-        m = options.max_query_len
-        key = F.when(at + m <= F.length("own"), slice_of(F.col("own"), at, m)).otherwise(
-            F.concat(slice_of(F.col("own"), at, m), F.substring(F.col("halo"), F.lit(1), F.greatest(at + m - F.length("own"), F.lit(0))))
-        )
-    else:
+    n = options.reach
+    if not n:
         raise ValueError("whole suffixes have no bounded key; see full_sort")
-    return rows.select((F.col("seq_start") + at).alias("pos"), "seq_id", at.cast("bigint").alias("seq_pos"), key.alias("key"), *(keep or []))
+    # long sequences are cut into pieces that hold what their last keys look at
+    first = F.col("piece") * PIECE
+    pieces = placed.filter(F.length("own") > 0).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("own") - 1) / PIECE).cast("int"))).alias("piece"))
+    inside = first + PIECE + n <= F.length("own")
+    looked = F.when(inside, F.substring("own", first + 1, F.lit(PIECE + n))).otherwise(F.concat(F.substring("own", first + 1, F.lit(PIECE + n)), "halo"))
+    pieces = pieces.select(
+        "seq_id", (F.col("seq_start") + first).alias("start_"), first.cast("bigint").alias("first_"), looked.alias("looked_"), F.least(F.length("own") - first, F.lit(PIECE)).alias("n_"), *(keep or [])
+    )
+    if spread:
+        pieces = pieces.repartition(spread, "seq_id", "first_")
+    at = F.col("at_")
+    rows = pieces.select("*", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("at_"))
+    if options.is_dna and not options.allow_ambiguity:
+        rows = rows.filter(symbol_at(F.col("looked_"), at).isin(*[F.lit(c.encode()) for c in DNA]))
+    key = options.mask.key(F.col("looked_"), at) if options.mask else slice_of(F.col("looked_"), at, n)
+    return rows.select((F.col("start_") + at).alias("pos"), "seq_id", (F.col("first_") + at).alias("seq_pos"), key.alias("key"), *(keep or []))

@@ -17,6 +17,8 @@ from lexaspan.operators.full_sort import full_order
 from lexaspan.runtime import scratch_path, ship, shuffle_partitions
 
 VERSION = 1
+#: Corpora with a sequence longer than this have their pieces dealt out before they are enumerated.
+LONG = 1 << 24
 
 
 def _with_lcp(rows: DataFrame, width: int) -> DataFrame:
@@ -65,8 +67,9 @@ class SuffixIndex:
         path = path or scratch_path(spark, "index")
         placed = with_surroundings(seqs, options)
         if options.reach:
-            rows = suffix_rows(placed, options)
             n = partitions or shuffle_partitions(spark)
+            longest = placed.agg(F.max(F.length("own"))).first()[0] or 0
+            rows = suffix_rows(placed, options, spread=n if longest > LONG else 0)
             rows = rows.repartitionByRange(n, F.col("key").asc(), F.col("pos").desc()).sortWithinPartitions(F.col("key").asc(), F.col("pos").desc())
             rows = _with_lcp(rows, options.mask.weight if options.mask else options.max_query_len)
         else:

@@ -9,8 +9,8 @@ from lexaspan.functions.symbols import context_bounds
 from lexaspan.operators.corpus import BuildOptions, suffix_rows, with_surroundings
 from lexaspan.operators.index import SuffixIndex
 
-#: At most so many queries are broadcast; more are joined by a shuffle on their prefix.
-BROADCAST_QUERIES = 200_000
+#: At most so many queries of one length class, and so many bytes, are broadcast; more are joined by a shuffle on their prefix.
+BROADCAST_QUERIES, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def effective_queries(queries: DataFrame, options: BuildOptions, max_query_len: int | None = None) -> DataFrame:
@@ -45,9 +45,9 @@ def match(suffixes: DataFrame, queries: DataFrame, keep: list[str], with_empty:
     Empty queries match every suffix; ``with_empty`` False leaves them out.
     """
     own = queries.filter("q IS NOT NULL").withColumn("n", F.length("q")).withColumn("class", F.when(F.col("n") > 0, F.floor(F.log2(F.col("n") + F.lit(0.0)))).otherwise(-1).cast("int"))
-    sizes = {r["class"]: r["count"] for r in own.groupBy("class").count().collect()}  # at most 32 rows
+    sizes = own.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("query") + 16).alias("bytes")).collect()  # at most 32 rows
     out = None
-    for c, n in sorted(sizes.items()):
+    for c, n, size in sorted(sizes):
         some = own.filter(F.col("class") == c)
         if c < 0:
             if not with_empty:
@@ -59,7 +59,7 @@ def match(suffixes: DataFrame, queries: DataFrame, keep: list[str], with_empty:
             head = 1 << c
             left = suffixes.filter(F.length("key") >= head).withColumn("h", F.substring("key", 1, head))
             right = some.withColumn("h", F.substring("q", 1, head)).drop("n", "class")
-            right = F.broadcast(right) if n <= BROADCAST_QUERIES else right
+            right = F.broadcast(right) if n <= BROADCAST_QUERIES and size <= BROADCAST_BYTES else right
             part = left.join(right, "h").filter(F.col("key").startswith(F.col("q")))
         part = part.select("query_num", "query", *keep)
         out = part if out is None else out.unionByName(part)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +46,23 @@ def _remove_local(uri: str) -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def _remove(spark: SparkSession, uri: str) -> None:
+    if local_path(uri):
+        return _remove_local(uri)
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended first; the folder's owner cleans up then
+        return None
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lexaspan-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the session's own part of the shared folder, which goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = f"{shared_dir(spark)}/lexaspan-{app}"
+        atexit.register(_remove, spark, _SCRATCH[app])
+    return f"{_SCRATCH[app]}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -13,6 +13,7 @@ from lexaspan.operators.corpus import running_offsets
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """``(seq_id, seq_name, bytes)`` of a FASTA or FASTQ file or folder, numbered in file order.
 
+    Splits of a file keep their order, as they are ordered by file, offset and line.
     The kind is told by the first character. Lines of a record are joined; the name
     is the header up to the first white space, or, where that is empty, the
     record's number counted from 1, plus 1. An empty or missing file is an error.
@@ -24,7 +25,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     if mark not in (">", "@"):
         raise ValueError(f"neither FASTA nor FASTQ: {path}")
     rows = (_fasta if mark == ">" else _fastq)(spark, path)
-    numbered = running_offsets(rows.withColumn("one_", F.lit(1)), ["file", "line"], "one_", "records")
+    numbered = running_offsets(rows.withColumn("one_", F.lit(1)), ["file", "block", "line"], "one_", "records")
     name = F.when(F.col("name") != "", F.col("name")).otherwise((F.col("number") + 2).cast("string"))
     return numbered.select(F.col("number").alias("seq_id"), name.alias("seq_name"), F.encode("seq", "UTF-8").alias("bytes"))
 
@@ -37,17 +38,17 @@ def _fasta(spark: SparkSession, path: str) -> DataFrame:
     """A record is what lies between two ``>`` that begin a line."""
     records = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^>", "").alias("v"))
     body = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*", ""), r"\s", "")
-    return records.filter("length(trim(v)) > 0").select("file", "line", _name(F.col("v")).alias("name"), body.alias("seq"))
+    return records.filter("length(trim(v)) > 0").select("file", "block", "line", _name(F.col("v")).alias("name"), body.alias("seq"))
 
 
 def _fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of four lines each."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.rtrim("value").alias("v")).filter("v <> ''")
-    numbered = running_offsets(lines.withColumn("one_", F.lit(1)), ["file", "line"], "one_", "lines")
-    four = numbered.groupBy("file", F.floor(F.col("number") / 4).alias("line")).agg(
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.rtrim("value").alias("v")).filter("v <> ''")
+    numbered = running_offsets(lines.withColumn("one_", F.lit(1)), ["file", "block", "line"], "one_", "lines")
+    four = numbered.groupBy("file", F.lit(0).alias("block"), F.floor(F.col("number") / 4).alias("line")).agg(
         F.max(F.when(F.col("number") % 4 == 0, F.col("v"))).alias("head"), F.max(F.when(F.col("number") % 4 == 1, F.col("v"))).alias("seq")
     )
-    return four.select("file", "line", _name(F.substring("head", 2, 1 << 30)).alias("name"), F.coalesce("seq", F.lit("")).alias("seq"))
+    return four.select("file", "block", "line", _name(F.substring("head", 2, 1 << 30)).alias("name"), F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def query_list(spark: SparkSession, arguments: list[str]) -> DataFrame:

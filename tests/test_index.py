@@ -163,3 +163,22 @@ def test_symbol_runs(spark):
     rows = spark.createDataFrame([(1, b"ANNNCNN"), (2, b"NNN"), (3, None), (4, b"")], "seq_id long, bytes binary")
     got = sorted(tuple(r) for r in listing.symbol_runs(rows, "N", 3).collect())
     assert got == [(1, 1, 4), (2, 0, 3)]
+
+
+def test_long_sequences_are_cut_into_pieces(spark, monkeypatch):
+    from lexaspan.operators import corpus
+    from lexaspan.operators import index as stored_index
+
+    monkeypatch.setattr(corpus, "PIECE", 4)
+    monkeypatch.setattr(stored_index, "LONG", 10)
+    rng = random.Random(9)
+    seqs = [(str(i), "".join(rng.choice("ACG") for _ in range(n))) for i, n in enumerate([0, 3, 4, 5, 23, 8, 1])]
+    for options in ({"max_query_len": 6}, {"seed_mask": "1101"}):
+        assert stored(build(spark, seqs, **options)) == model(seqs, **options)[1:]
+
+
+def test_many_queries_go_by_shuffle(spark, three, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
+    got = {r.query: r["count"] for r in search.count(three, queries(spark, "AC", "ACT", "TT", "ACTGAC", "Z")).collect()}
+    text = model(THREE, is_dna=True)[0]
+    assert got == {q: sum(text.startswith(q, i) for i in range(len(text))) for q in got}

@@ -35,3 +35,15 @@ def test_query_list(spark, tmp_path):
     f.write_text("AC\n GT  TT\n")
     got = [tuple(r) for r in query_list(spark, ["X", str(f), "Y"]).collect()]
     assert got == [(0, "X"), (1, "AC"), (2, "GT"), (3, "TT"), (4, "Y")]
+
+
+def test_splits_of_a_file_keep_their_order(spark, tmp_path):
+    f = tmp_path / "a.fa"
+    f.write_text("".join(f">r{i}\n{'ACGT' * (i % 7)}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [(r.seq_name, bytes(r.bytes)) for r in read_sequences(spark, str(f)).orderBy("seq_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(f"r{i}", b"ACGT" * (i % 7)) for i in range(500)]
