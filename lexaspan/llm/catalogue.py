@@ -131,6 +131,30 @@ WITH r AS (
   FROM sequences WHERE seq_id IS NOT NULL),
 g AS (SELECT *, min(seq_id) OVER (PARTITION BY letters, fields) AS first_id FROM r WHERE letters <> '')
 """
+_P2 = r"""
+WITH RECURSIVE f AS (SELECT DISTINCT file_id, is_dna, decode(seq) AS t, coalesce(start_positions, [0]) AS st FROM sequence_files WHERE seq IS NOT NULL),
+j AS (SELECT file_id, is_dna, t, st, unnest(range(0, len(st))) AS seq_no FROM f),
+q AS (SELECT file_id, seq_no, substr(t, st[seq_no + 1] + 1, coalesce(st[seq_no + 2] - 1, length(t) - 1) - st[seq_no + 1]) AS x,
+             chr(10) || chr(13) || '-' || CASE WHEN is_dna THEN 'Nn' ELSE 'Xx*' END AS stops FROM j),
+l AS (SELECT file_id, seq_no, length(x) AS n, list_filter(range(1, length(x) + 1), lambda i: contains(stops, x[i]) AND (i = length(x) OR NOT contains(stops, x[i + 1]))) AS ends
+      FROM q WHERE length(x) > 1000),
+p AS (
+  SELECT file_id, seq_no, n, ends, CAST(0 AS BIGINT) AS s, CAST(coalesce(list_max(list_filter(ends, lambda e: e > 60 AND e <= 1000)), 1000) AS BIGINT) AS e FROM l
+  UNION ALL
+  SELECT file_id, seq_no, n, ends, e - 60, CAST(CASE WHEN n - (e - 60) <= 1000 THEN n ELSE coalesce(list_max(list_filter(ends, lambda b: b > p.e AND b <= p.e + 940)), e + 940) END AS BIGINT)
+  FROM p WHERE e < n)
+SELECT file_id, seq_no, s AS piece_start, e AS piece_end FROM p
+"""
+_P5 = r"""
+WITH x AS (SELECT index_id, any_value(text) AS t, any_value(coalesce(sequence_starts, [0])) AS st, any_value(sequence_names) AS names FROM index_texts WHERE text IS NOT NULL AND index_id IS NOT NULL GROUP BY index_id),
+j AS (SELECT index_id, t, st, names, unnest(range(0, len(st))) AS seq_no FROM x),
+q AS (SELECT index_id, seq_no, names[seq_no + 1] AS sequence_name, substr(t, st[seq_no + 1] + 1, coalesce(st[seq_no + 2] - 1, length(t) - CAST(ends_with(t, '$') AS INT)) - st[seq_no + 1]) AS s FROM j),
+w AS (SELECT index_id, seq_no, p, substr(s, p + 1, 48) AS k FROM (SELECT *, unnest(range(0, length(s) - 47)) AS p FROM q WHERE length(s) >= 48)),
+h AS (SELECT k FROM w GROUP BY k HAVING count(DISTINCT (index_id, seq_no)) > 1),
+g AS (SELECT index_id, seq_no, p, CASE WHEN p <= lag(p) OVER (PARTITION BY index_id, seq_no ORDER BY p) + 48 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN h USING (k)),
+r AS (SELECT index_id, seq_no, p, sum(fresh) OVER (PARTITION BY index_id, seq_no ORDER BY p) AS run FROM g),
+f AS (SELECT index_id, seq_no, min(p) AS span_start, max(p) + 48 AS span_end FROM r GROUP BY index_id, seq_no, run)
+"""
 
 QUERIES = {
     "p1_found": p1_found,
@@ -148,6 +172,12 @@ QUERIES = {
     "p8_composition": p8_composition,
 }
 SQL = {
+    "p2_found": _P2,
+    "p5_found": _P5 + "SELECT index_id, seq_no, span_start, span_end FROM f",
+    "p5_shares": _P5
+    + """SELECT q.index_id, q.seq_no, q.sequence_name, length(q.s) AS symbols, count(f.span_start) AS n_spans, CAST(coalesce(sum(span_end - span_start), 0) AS BIGINT) AS covered,
+         CASE WHEN length(q.s) > 0 THEN round(coalesce(sum(span_end - span_start), 0) / length(q.s), 6) ELSE 0.0 END AS share
+         FROM q LEFT JOIN f ON f.index_id = q.index_id AND f.seq_no = q.seq_no GROUP BY q.index_id, q.seq_no, q.sequence_name, q.s""",
     "p1_found": _P1 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_counts": _P1 + "SELECT field, term, occurrences, holders, mark FROM m",
     "p3_found": _P3 + "SELECT first_id AS keep_id, seq_id AS dup_id FROM g WHERE seq_id <> first_id",
