@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaspan.llm.bpe import encode_texts
-from lexaspan.llm.leakage import find_leaks
+from lexaspan.llm.leakage import find_leaks, find_near
 from lexaspan.llm.ledger import copy_pairs, hidden_duplicates
 from lexaspan.llm.spans import shared_shares, shared_spans
 from lexaspan.llm.splitting import split_sequences
@@ -93,6 +93,11 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p7(spark, sf_dir).withColumn("share", F.round(F.col("matched") / F.col("item_words"), 6))
 
 
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold many telling words of a test item close together, in any order."""
+    return find_near(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_subjects(*(read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
 
@@ -168,6 +173,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_near": p7_near,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }

@@ -75,29 +75,39 @@ def exact_runs(tokens: np.ndarray, starts: np.ndarray, item: np.ndarray, run: in
             yield int(some[k]), int(lengths.max()), int(lengths[lengths >= run].sum())
 
 
-def _search(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, list[str]]], run: int, block_tokens: int) -> DataFrame:
-    vocabulary: dict[str, int] = {}
-    coded = [(i, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64)) for i, ws in items if len(ws) >= run]
-    pad = np.full(max([1, *(len(c) for _, c in coded)]), _GAP, np.int32)
+def near_places(index: PositionalIndex, terms: np.ndarray, doc_starts: np.ndarray, width: int, least: int) -> dict[int, int]:
+    """Documents of the block in which ``least`` distinct ``terms`` lie within ``width`` words, with the most found so."""
+    lists = [index.postings(int(t)) for t in terms]
+    if sum(len(x) > 0 for x in lists) < least:
+        return {}
+    places = np.concatenate(lists)
+    which = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(places, kind="stable")
+    places, which = places[order], which[order]
+    docs = np.searchsorted(doc_starts, places, side="right") - 1
+    held, kinds, a, found = [0] * len(lists), 0, 0, {}
+    for p, w, d in zip(places.tolist(), which.tolist(), docs.tolist()):
+        held[w] += 1
+        kinds += held[w] == 1
+        while places[a] <= p - width or docs[a] != d:
+            held[which[a]] -= 1
+            kinds -= held[which[a]] == 0
+            a += 1
+        if kinds >= least:
+            found[d] = max(found.get(d, 0), kinds)
+    return found
+
+
+def _blocks(docs: DataFrame, doc_id: str, text: str, vocabulary: dict[str, int], block_tokens: int, answer, schema: pa.Schema, kind: str) -> DataFrame:
+    """Index each block of documents and let ``answer(ids, tokens, index, doc_starts)`` give columns of rows."""
+    gap = np.array([_GAP], np.int32).tobytes()
 
     def search(ids: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        gap = np.array([_GAP], np.int32).tobytes()
         starts = np.cumsum([0, *(len(p) // 4 + 1 for p in parts)])
-        real = np.frombuffer(gap.join(parts), np.int32)
-        index, rows = PositionalIndex(real, len(vocabulary)), {}
-        tokens = np.concatenate([pad, real, pad])
-        for item_id, item in coded:
-            begins = alignments(index, item, run)
-            shifted = tokens[len(pad) - len(item) :]
-            for s, longest, matched in exact_runs(shifted, begins, item, run):
-                hit = _run_place(shifted, s, item, run)
-                d = int(np.searchsorted(starts, hit, side="right")) - 1
-                key = (ids[d], item_id)
-                old = rows.get(key, (0, 0, 0))
-                rows[key] = (max(old[0], longest), max(old[1], matched), len(item))
+        tokens = np.frombuffer(gap.join(parts), np.int32)
+        rows = answer(ids, tokens, PositionalIndex(tokens, len(vocabulary)), starts)
         if rows:
-            cols = [[k[0] for k in rows], [k[1] for k in rows], *zip(*rows.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def run_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(vocabulary)
@@ -116,7 +126,75 @@ def _search(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, list
         if parts:
             yield from search(ids, parts)
 
-    return docs.selectExpr(f"CAST(`{doc_id}` AS BIGINT) AS doc_id", f"`{text}` AS text").filter("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(run_task, HITS)
+    return docs.selectExpr(f"CAST(`{doc_id}` AS BIGINT) AS doc_id", f"`{text}` AS text").filter("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(run_task, kind)
+
+
+def _coded(items: list[tuple[int, list[str]]]) -> tuple[dict[str, int], list[tuple[int, np.ndarray]]]:
+    vocabulary: dict[str, int] = {}
+    return vocabulary, [(i, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64)) for i, ws in items]
+
+
+def _search(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, list[str]]], run: int, block_tokens: int) -> DataFrame:
+    vocabulary, coded = _coded([(i, ws) for i, ws in items if len(ws) >= run])
+    pad = np.full(max([1, *(len(c) for _, c in coded)]), _GAP, np.int32)
+
+    def answer(ids: list[int], real: np.ndarray, index: PositionalIndex, starts: np.ndarray) -> list[tuple]:
+        rows: dict[tuple[int, int], tuple[int, int, int]] = {}
+        tokens = np.concatenate([pad, real, pad])
+        for item_id, item in coded:
+            shifted = tokens[len(pad) - len(item) :]
+            for s, longest, matched in exact_runs(shifted, alignments(index, item, run), item, run):
+                d = int(np.searchsorted(starts, _run_place(shifted, s, item, run), side="right")) - 1
+                old = rows.get((ids[d], item_id), (0, 0, 0))
+                rows[ids[d], item_id] = (max(old[0], longest), max(old[1], matched), len(item))
+        return [(*k, *v) for k, v in rows.items()]
+
+    return _blocks(docs, doc_id, text, vocabulary, block_tokens, answer, _SCHEMA, HITS)
+
+
+def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_items: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The stated query set, in blocks of about so many rows; an empty set is one empty block."""
+    own = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    blocks = max(1, -(-own.count() // block_items))
+    for b in range(blocks):
+        yield [(r.i, words(visible_text(r.t))) for r in own.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
+
+
+def find_near(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    least: int = 6,
+    stretch: float = 2.0,
+    shared_by: int = 2,
+    block_items: int = 20_000,
+    block_tokens: int = 1_500_000,
+) -> DataFrame:
+    """Proximity matches: ``(doc_id, item_id, terms)``.
+
+    A word tells an item if at most ``shared_by`` items of its block hold it. A
+    document is near an item if ``least`` or more distinct telling words of it lie
+    within ``stretch`` times the item's length of words, in any order and with
+    others between; ``terms`` is the most found so. Nulls, empty texts and empty
+    tables match nothing.
+    """
+    ship(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("terms", pa.int32())])
+    found = None
+    for block in _item_blocks(items, item_id, item_text, block_items):
+        vocabulary, coded = _coded(block)
+        holders = np.bincount(np.concatenate([np.unique(c) for _, c in coded] or [np.empty(0, np.int64)]), minlength=len(vocabulary))
+        asked = [(i, terms, max(1, int(len(c) * stretch))) for i, c in coded if len(terms := np.unique(c[holders[c] <= shared_by])) >= least]
+
+        def answer(ids: list[int], tokens: np.ndarray, index: PositionalIndex, starts: np.ndarray, asked=asked) -> list[tuple]:
+            return [(ids[d], i, n) for i, terms, width in asked for d, n in near_places(index, terms, starts, width, least).items()]
+
+        part = _blocks(docs, doc_id, text, vocabulary, block_tokens, answer, schema, "doc_id bigint, item_id bigint, terms int")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("doc_id", "item_id").agg(F.max("terms").alias("terms"))
 
 
 def _run_place(tokens: np.ndarray, start: int, item: np.ndarray, run: int) -> int:
@@ -149,11 +227,8 @@ def find_leaks(
     are distinct by (doc_id, item_id). Empty tables give an empty result.
     """
     ship(docs.sparkSession)
-    own = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    blocks = max(1, -(-own.count() // block_items))
     found = None
-    for b in range(blocks):
-        rows = own.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
-        part = _search(docs, doc_id, text, [(r.i, words(visible_text(r.t))) for r in rows], run, block_tokens)
+    for block in _item_blocks(items, item_id, item_text, block_items):
+        part = _search(docs, doc_id, text, block, run, block_tokens)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lexaspan.llm.leakage import find_leaks
+from lexaspan.llm.leakage import find_leaks, find_near
 from lexaspan.llm.wikitext import visible_text, words
 
 ITEM = "The older court ruled that Velmar's ninth harbour had kept 312 boats and one small lantern near Dorpel"
@@ -78,3 +78,22 @@ def test_what_the_page_shows_counts(spark):
     it = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, "too short"), (None, ITEM)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(df, it).collect()) == [(i, 1) for i in (0, 1, 3, 5, 6, 10)]
     assert find_leaks(df.limit(0), it).count() == 0 and find_leaks(df, it.limit(0)).count() == 0
+
+
+def test_near_words_in_any_order(spark):
+    items = [(1, "alpha beta gamma delta common words"), (2, "epsilon zeta eta theta common words"), (3, "common words"), (4, None)]
+    docs = [
+        (0, "gamma x delta y beta z alpha"),
+        (1, "alpha beta gamma " + "x " * 20 + "delta"),
+        (2, "alpha alpha alpha beta gamma"),
+        (3, "alpha beta"),
+        (4, "gamma delta theta zeta eta epsilon"),
+        (5, None),
+        (6, "common words common words"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    it = spark.createDataFrame(items, "item_id long, text string")
+    for tokens in (1_500_000, 3):
+        got = sorted(tuple(r) for r in find_near(df, it, least=4, block_tokens=tokens).collect())
+        assert got == [(0, 1, 4), (4, 2, 4)]
+    assert find_near(df.limit(0), it).count() == 0 and find_near(df, it.limit(0)).count() == 0
