@@ -193,6 +193,9 @@ def _shard_matches(distinct: DataFrame, span: int) -> DataFrame:
     schema = pa.schema([("snippet_key", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
     def match(group: list[tuple]) -> list[tuple[bytes, int, int]]:
+        if len(group) == 1:  # all states of one string hold what the string holds
+            text, key, first, last = group[0]
+            return [(key, 0, len(text))] if first != last and len(text) >= span else []
         machine = SharedAutomaton()
         for text, _, first, last in group:
             machine.add(text, first, last)
