@@ -25,6 +25,7 @@ from lexaspan.runtime import materialise, ship
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_STEP = np.uint64(40503)  # odd: its multiples differ in their low bits
 
 
 def sequence_bounds(length: int, starts: list[int | None] | None, ended: bool) -> list[tuple[int, int]]:
@@ -43,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def anchors(seq: np.ndarray, span: int, log_k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(position, hash)`` of the least hashed k-mer of each stretch of ``span`` symbols, k = 2 ** log_k.
 
-    Among equal k-mers of a stretch the place is chosen by a hash of the position;
+    Among equal k-mers of a stretch the place is chosen by a permutation of the positions;
     they share their anchor, so any of them serves, and a run of one letter gives
     few places instead of all.
     """
@@ -58,9 +59,16 @@ def anchors(seq: np.ndarray, span: int, log_k: int) -> tuple[np.ndarray, np.ndar
         power = power * power % 2**64
     h = _mixed(h)
     low = np.uint64(0xFFFF)
-    order = (h & ~low) | (_mixed(np.arange(len(h), dtype=np.uint64) + np.uint64(7)) & low)
+    order = (h & ~low) | (np.arange(len(h), dtype=np.uint64) * _STEP & low)
     w = span - k + 1
-    at = np.unique(sliding_window_view(order, w).argmin(axis=1) + np.arange(len(order) - w + 1))
+    least, reach = order, 1
+    while reach < w:  # minima of windows twice as wide each time
+        more = min(reach, w - reach)
+        least = np.minimum(least[:-more], least[more:])
+        reach += more
+    # no two places of a window are equal, so its least place changes where its minimum does
+    fresh = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    at = np.unique(sliding_window_view(order, w)[fresh].argmin(axis=1) + fresh)
     return at, (h[at] & ~low).view(np.int64)
 
 
