@@ -41,17 +41,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(seq: np.ndarray, span: int, log_k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(position, hash)`` of the least hashed k-mer of each stretch of ``span`` symbols, k = 2 ** log_k.
+def anchors(text: np.ndarray, bounds: list[tuple[int, int]], span: int, log_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(seq_no, position, hash)`` of the least hashed k-mer of each stretch of ``span`` symbols, k = 2 ** log_k.
 
-    Among equal k-mers of a stretch the place is chosen by a permutation of the positions;
-    they share their anchor, so any of them serves, and a run of one letter gives
-    few places instead of all.
+    Stretches lie within one of the ``bounds``, which must rise and not overlap.
+    Among equal k-mers of a stretch the place is chosen by a permutation of the
+    positions; they share their anchor, so any of them serves, and a run of one
+    letter gives few places instead of all.
     """
+    long = [(j, b, e) for j, (b, e) in enumerate(bounds) if e - b >= span]
+    if not long:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     k = 1 << log_k
-    if len(seq) < span:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = seq.astype(np.uint64) + np.uint64(1)
+    h = text.astype(np.uint64) + np.uint64(1)
     power = int(_BASE)
     for i in range(log_k):
         half = 1 << i
@@ -66,10 +68,17 @@ def anchors(seq: np.ndarray, span: int, log_k: int) -> tuple[np.ndarray, np.ndar
         more = min(reach, w - reach)
         least = np.minimum(least[:-more], least[more:])
         reach += more
+    number, begin, end = (np.array(x) for x in zip(*long))
+    inside = np.zeros(len(least) + 1, np.int32)
+    inside[begin] += 1
+    inside[end - span + 1] -= 1
     # no two places of a window are equal, so its least place changes where its minimum does
-    fresh = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    at = np.unique(sliding_window_view(order, w)[fresh].argmin(axis=1) + fresh)
-    return at, (h[at] & ~low).view(np.int64)
+    fresh = np.concatenate([[True], least[1:] != least[:-1]])
+    fresh[begin] = True
+    first = np.flatnonzero(fresh & (np.cumsum(inside[:-1]) > 0))
+    at = np.unique(sliding_window_view(order, w)[first].argmin(axis=1) + first)
+    owner = np.searchsorted(begin, at, side="right") - 1
+    return number[owner], at - begin[owner], (h[at] & ~low).view(np.int64)
 
 
 class SharedAutomaton:
@@ -160,14 +169,14 @@ def _anchor_rows(texts: DataFrame, span: int, log_k: int) -> DataFrame:
             for k in range(batch.num_rows):
                 text = batch.column("text")[k].as_py()
                 flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                for j, (b, e) in enumerate(sequence_bounds(len(flat), batch.column("starts")[k].as_py(), text.endswith("$"))):
-                    at, h = anchors(flat[b:e], span, log_k) if e - b >= span else ((), ())
+                bounds = sequence_bounds(len(flat), batch.column("starts")[k].as_py(), text.endswith("$"))
+                # starts out of order have no common pass
+                apart = all(x[1] <= y[0] for x, y in zip(bounds, bounds[1:])) and all(b <= e for b, e in bounds)
+                for part, add in [(bounds, 0)] if apart else [([x], j) for j, x in enumerate(bounds)]:
+                    number, at, h = anchors(flat, part, span, log_k)
                     if len(at):
-                        for c, x in zip(cols, (h, np.full(len(at), batch.column("record")[k].as_py()), np.full(len(at), j), at)):
-                            c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], schema=schema)
+                        cols = (h, np.full(len(at), batch.column("record")[k].as_py()), number + add, at)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     return texts.mapInArrow(run, "anchor bigint, record bigint, seq_no bigint, at bigint")
 

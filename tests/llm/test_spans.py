@@ -70,9 +70,11 @@ def test_equal_stretches_share_an_anchor():
     common = rng.integers(0, 4, 30)
     a = np.concatenate([rng.integers(0, 4, 100), common, rng.integers(0, 4, 70)])
     b = np.concatenate([rng.integers(0, 4, 33), common, rng.integers(0, 4, 20)])
-    (pa, ha), (pb, hb) = anchors(a, 30, 3), anchors(b, 30, 3)
+    (_, pa, ha), (_, pb, hb) = anchors(a, [(0, 200)], 30, 3), anchors(b, [(0, 83)], 30, 3)
     assert {h for p, h in zip(pa, ha) if 100 <= p <= 122} & {h for p, h in zip(pb, hb) if 33 <= p <= 55}
-    assert len(anchors(np.zeros(10_000, np.int64), 48, 4)[0]) < 1500
+    assert len(anchors(np.zeros(10_000, np.int64), [(0, 10_000)], 48, 4)[0]) < 1500
+    both = anchors(np.concatenate([a, [9], b]), [(0, 200), (200, 200), (201, 284)], 30, 3)
+    assert set(both[0].tolist()) == {0, 2} and both[1].max() < 200 and both[1][both[0] == 2].max() < 83
 
 
 def test_automaton_knows_who_holds_what():
