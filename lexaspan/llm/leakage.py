@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaspan.llm.wikitext import WordIds, visible_text, words
-from lexaspan.runtime import ship
+from lexaspan.runtime import materialise, ship
 
 _GAP = -2
 HITS = "doc_id bigint, item_id bigint, longest int, matched int, item_words int"
@@ -160,6 +160,30 @@ def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_items: in
         yield [(r.i, words(visible_text(r.t))) for r in own.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
 
 
+def _telling(items: DataFrame, item_id: str, item_text: str, least: int, shared_by: int) -> DataFrame:
+    """``(i, n, terms)``: a row for each item text with its count of words and the words it is asked by.
+
+    Holders are counted over all items, each id once. The words held by ``shared_by``
+    items or fewer are taken, and where they are fewer than ``least`` the bound is
+    raised for that item to the holders of its ``least``-th rarest word, ties included.
+    Only items of fewer than ``least`` distinct words have no row.
+    """
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), [words(visible_text(t)) for t in batch.column(1).to_pylist()]
+            kinds = pa.array([sorted(set(ws)) for ws in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(ws) for ws in texts], pa.int32()), kinds], names=["i", "n", "ws"])
+
+    own = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    own = materialise(own.mapInArrow(parse, "i bigint, n int, ws array<string>").distinct(), "items")
+    each = own.select("*", F.explode("ws").alias("w"))
+    held = each.groupBy("w").agg(F.countDistinct("i").alias("holders"))
+    ranked = each.join(held, "w").groupBy("i", "n", "ws").agg(F.sort_array(F.collect_list(F.struct("holders", "w"))).alias("l")).filter(F.size("l") >= least)
+    bound = F.greatest(F.element_at("l", max(1, least))["holders"], F.lit(shared_by))
+    return ranked.select("i", "n", F.transform(F.filter("l", lambda x: x["holders"] <= bound), lambda x: x["w"]).alias("terms"))
+
+
 def find_near(
     docs: DataFrame,
     items: DataFrame,
@@ -175,19 +199,23 @@ def find_near(
 ) -> DataFrame:
     """Proximity matches: ``(doc_id, item_id, terms)``.
 
-    A word tells an item if at most ``shared_by`` items of its block hold it. A
-    document is near an item if ``least`` or more distinct telling words of it lie
-    within ``stretch`` times the item's length of words, in any order and with
-    others between; ``terms`` is the most found so. Nulls, empty texts and empty
-    tables match nothing.
+    A word tells an item if at most ``shared_by`` of all items hold it; an item with
+    fewer than ``least`` such words is asked by its rarest ones instead, ``least`` or
+    more with ties. A document is near an item if ``least`` or more distinct of these
+    words lie within ``stretch`` times the item's length of words, in any order and
+    with others between; ``terms`` is the most found so. So a whole copy of an item
+    is near it, whatever the other items hold (``stretch`` 1 or more). Items of fewer
+    than ``least`` distinct words, nulls, empty texts and empty tables match nothing.
     """
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("terms", pa.int32())])
     found = None
-    for block in _item_blocks(items, item_id, item_text, block_items):
-        vocabulary, coded = _coded(block)
-        holders = np.bincount(np.concatenate([np.unique(c) for _, c in coded] or [np.empty(0, np.int64)]), minlength=len(vocabulary))
-        asked = [(i, terms, max(1, int(len(c) * stretch))) for i, c in coded if len(terms := np.unique(c[holders[c] <= shared_by])) >= least]
+    told = materialise(_telling(items, item_id, item_text, least, shared_by), "telling")
+    blocks = max(1, -(-told.count() // block_items))
+    for b in range(blocks):
+        rows = told.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
+        vocabulary: dict[str, int] = {}
+        asked = [(r.i, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in r.terms], np.int64), max(1, int(r.n * stretch))) for r in rows]
 
         def answer(ids: list[int], tokens: np.ndarray, index: PositionalIndex, starts: np.ndarray, asked=asked) -> list[tuple]:
             return [(ids[d], i, n) for i, terms, width in asked for d, n in near_places(index, terms, starts, width, least).items()]

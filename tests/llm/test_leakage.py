@@ -97,3 +97,15 @@ def test_near_words_in_any_order(spark):
         got = sorted(tuple(r) for r in find_near(df, it, least=4, block_tokens=tokens).collect())
         assert got == [(0, 1, 4), (4, 2, 4)]
     assert find_near(df.limit(0), it).count() == 0 and find_near(df, it.limit(0)).count() == 0
+
+
+def test_a_whole_copy_of_any_item_is_near(spark):
+    shared = "amber birch cedar dogwood elm fir"
+    items = [(i, f"{shared} {'own' + str(i)} also") for i in range(4)] + [(9, "one two three four five six seven"), (9, "one two three four five six seven")]
+    docs = [(i, f"before {t} after") for i, t in items[:5]] + [(7, "amber birch cedar")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r) for r in find_near(df, it).collect())
+    assert {(i, i) for i, _ in items} <= {r[:2] for r in whole} and not any(r[0] == 7 for r in whole)
+    # which words tell doesn't hang on the blocks the items fall into
+    assert sorted(tuple(r) for r in find_near(df, it, block_items=1).collect()) == whole
