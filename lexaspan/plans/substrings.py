@@ -17,7 +17,7 @@ from lexaspan.functions.symbols import common_prefix, normalised, one_byte_text
 from lexaspan.operators import listing, render, search
 from lexaspan.operators.corpus import BuildOptions, sequences, suffix_rows, with_surroundings
 from lexaspan.operators.index import SuffixIndex
-from lexaspan.runtime import read_table
+from lexaspan.runtime import materialise, read_table
 
 MASK = "11011"
 _KEPT: dict[tuple, SuffixIndex] = {}
@@ -64,6 +64,17 @@ def item_queries(spark: SparkSession, sf_dir: str, width: int = 24) -> DataFrame
     return rows.filter(F.length("query") == width).select((F.col("item_id") * 2 + F.col("k")).cast("int").alias("query_num"), "query")
 
 
+def item_windows(items: DataFrame, width: int = 24) -> DataFrame:
+    """Windows of ``width`` characters side by side over each item and one flush with its end: none of the text is left out.
+
+    ``query_num`` is (item_id, start). An item shorter than a window is one; an item without text has none.
+    """
+    n = F.length("text")
+    starts = F.concat(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)), F.lit(width)), F.array(F.greatest(n - width, F.lit(0))))
+    rows = items.filter(n > 0).select("item_id", normalised(F.col("text")).alias("text"), F.explode(F.array_distinct(starts)).alias("start"))
+    return rows.select(F.struct("item_id", "start").alias("query_num"), F.substring("text", F.col("start") + 1, F.lit(width)).alias("query"))
+
+
 def normalize_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", normalised(F.col("text")).alias("text"))
 
@@ -151,6 +162,15 @@ def _unplaced(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").alias("seq_id"), F.lit(0).cast("bigint").alias("seq_start"), own.alias("bytes"), F.lit(0).cast("bigint").alias("number"))
 
 
+def count_items(spark, sf_dir):
+    """Every test item, covered whole by windows, counted in the stored text of all documents."""
+    queries = materialise(item_windows(read_table(spark, sf_dir, "benchmark")), "windows")
+    widest = queries.agg(F.max(F.octet_length("query"))).first()[0] or 1  # keys that hold any window whole
+    stored = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = search.count_in(_unplaced(stored), queries, BuildOptions(max_query_len=widest, scope="sequence"))
+    return found.select("query_num.item_id", "query_num.start", "query", "count")
+
+
 def count_words(spark, sf_dir):
     return search.count_in(_unplaced(docs(spark, sf_dir)), literal_queries(spark, _WORDS), DOCS16)
 
@@ -369,6 +389,7 @@ def _folder(spark: SparkSession, sf_dir: str, table: str) -> str:
 
 _ONE = "translate(regexp_replace(coalesce({0}, ''), '[^ -#&-~]', 'N', 'g'), '" + string.ascii_lowercase + "', '{1}')"
 _UP, _SOFT = string.ascii_uppercase, "N" * 26
+_ASCII_UP = f"translate(text, '{string.ascii_lowercase}', '{_UP}')"
 
 
 def _q(words: list[str]) -> str:
@@ -406,7 +427,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, softmask_text, sequence_starts, sequence_ends, suffix_enumerate, dna_filter, allow_ambiguity, suffix_array_full, suffix_array_mql,
-        suffix_array_masked, lcp_array, lcp_masked, lcp_documents, pairwise_lcp, subsample_mql, count_queries, count_words, count_mql, count_masked, count_index,
+        suffix_array_masked, lcp_array, lcp_masked, lcp_documents, pairwise_lcp, subsample_mql, count_queries, count_items, count_words, count_mql, count_masked, count_index,
         count_literal, not_found_queries, search_rank_range, search_documents, locate_relative, locate_absolute, locate_mql, locate_masked, locate_documents,
         locate_rendered, locate_lists, extract_context, extract_prefix, extract_suffix_len, extract_clamped, extract_fasta, list_all, list_ranks, list_limit,
         list_len, string_at, text_range, point_rank, rank_range, summarize_index, n_runs, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
@@ -436,6 +457,10 @@ SQL = {
     "count_queries": f"WITH {_DS.format(24)}, b AS (SELECT item_id, {_ONE.format('text', _UP)} AS t FROM benchmark), "
     "q AS (SELECT CAST(item_id * 2 + k AS INT) AS query_num, substr(t, 1 + 48 * k, 24) AS query FROM b, (VALUES (0), (1)) v(k) WHERE length(substr(t, 1 + 48 * k, 24)) = 24) "
     "SELECT q.query_num, q.query, count(s.p) AS count FROM q LEFT JOIN s ON s.key = q.query GROUP BY q.query_num, q.query",
+    "count_items": "WITH d AS (SELECT " + _ASCII_UP + " AS t FROM documents), s AS (SELECT substr(t, p + 1, 24) AS key FROM (SELECT t, unnest(range(0, length(t))) AS p FROM d)), "
+    "b AS (SELECT item_id, " + _ASCII_UP + " AS t FROM benchmark WHERE text <> ''), "
+    "q AS (SELECT DISTINCT item_id, CAST(a AS INT) AS start, substr(t, a + 1, 24) AS query FROM (SELECT item_id, t, unnest(list_append(range(0, greatest(length(t) - 24, 0) + 1, 24), greatest(length(t) - 24, 0))) AS a FROM b)), "
+    "k AS (SELECT key, count(*) AS n FROM s GROUP BY key) SELECT item_id, start, query, coalesce(n, 0) AS count FROM q LEFT JOIN k ON key = query",
     "count_words": _DOC_COUNT.format(16, _q(_WORDS), "starts_with(s.key, q.query)"),
     "count_mql": _DOC_COUNT.format(16, _q(_WORDS), "starts_with(s.key, left(q.query, 3))"),
     "count_masked": _DOC_COUNT.format(5, _q(_WORDS), "starts_with(" + _MASKED.format("s.key", "0") + ", " + _MASKED.format("q.query", "0") + ")"),
