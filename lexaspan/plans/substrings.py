@@ -2,18 +2,20 @@
 
 Two corpora: ``documents`` in scope 'sequence' (the scalable form) and ``part``
 names joined to one text. Characters that aren't printable ASCII become N, so that
-a character is a byte on both sides.
+a character is a byte on both sides. The queries named ``..._stored`` run over the
+UTF-8 bytes of the documents as stored, but for the delimiter and the sentinel.
 """
 
 from __future__ import annotations
 
 import string
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaspan.functions.mask import SeedMask
-from lexaspan.functions.symbols import common_prefix, normalised, one_byte_text
+from lexaspan.functions.symbols import DELIMITER, SENTINEL, common_prefix, normalised, normalised_bytes, one_byte_text
 from lexaspan.operators import listing, render, search
 from lexaspan.operators.corpus import BuildOptions, sequences, suffix_rows, with_surroundings
 from lexaspan.operators.index import SuffixIndex
@@ -21,12 +23,28 @@ from lexaspan.runtime import materialise, read_table
 
 MASK = "11011"
 _KEPT: dict[tuple, SuffixIndex] = {}
+_STORED: ContextVar[bool] = ContextVar("stored", default=False)
 _WORDS = ["THE", "COURT", "OF THE SUMMARY", "A", "ZZQXJ", "IN 1", "the", "NEITHER THE", "RIVER AND", "Q"]
 _NAMES = ["A", "SMALL", "RED WIDGET", "T%S", "ZZZ", "BOLT", "LL AN", "small", "E%"]
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", one_byte_text(F.coalesce("text", F.lit(""))).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    own = F.translate(text, DELIMITER + SENTINEL, "NN") if _STORED.get() else one_byte_text(text)
+    return read_table(spark, sf_dir, "documents").select("doc_id", own.alias("text"))
+
+
+def as_stored(query):
+    """The same query over the documents' bytes as stored."""
+
+    def run(spark, sf_dir):
+        before = _STORED.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _STORED.reset(before)
+
+    return run
 
 
 def doc_sequences(spark: SparkSession, sf_dir: str, options: BuildOptions) -> DataFrame:
@@ -40,7 +58,7 @@ def part_sequences(spark: SparkSession, sf_dir: str, options: BuildOptions) -> D
 
 def kept_index(spark: SparkSession, sf_dir: str, corpus: str, options: BuildOptions) -> SuffixIndex:
     """The index of a corpus, built once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, corpus, options)
+    key = (spark.sparkContext.applicationId, sf_dir, corpus, options, _STORED.get())
     if key not in _KEPT:
         make = doc_sequences if corpus == "documents" else part_sequences
         _KEPT[key] = SuffixIndex.build(make(spark, sf_dir, options), options, name=corpus)
@@ -99,7 +117,7 @@ def suffix_enumerate(spark, sf_dir):
 def _dna(spark, sf_dir, ambiguous):
     o = BuildOptions(is_dna=True, allow_ambiguity=ambiguous, max_query_len=4, scope="sequence")
     rows = suffix_rows(with_surroundings(doc_sequences(spark, sf_dir, o), o), o)
-    return rows.groupBy(F.substring("key", 1, 1).cast("string").alias("symbol")).agg(F.count(F.lit(1)).alias("positions"), F.countDistinct("key").alias("kinds"))
+    return rows.groupBy(F.decode(F.substring("key", 1, 1), "ISO-8859-1").alias("symbol")).agg(F.count(F.lit(1)).alias("positions"), F.countDistinct("key").alias("kinds"))
 
 
 def dna_filter(spark, sf_dir):
@@ -330,6 +348,18 @@ def n_runs(spark, sf_dir):
     return listing.symbol_runs(rows, "N", 3)
 
 
+def n_runs_stored(spark, sf_dir):
+    """Runs of three or more N, masked or not, in every sequence of the sequence files and index texts, as stored."""
+    files = read_table(spark, sf_dir, "sequence_files").select(F.lit("sequence_files").alias("source"), F.col("file_id").alias("record_id"), F.col("start_positions").alias("starts"), F.col("seq").alias("raw"))
+    texts = read_table(spark, sf_dir, "index_texts").select(F.lit("index_texts").alias("source"), F.col("index_id").alias("record_id"), F.col("sequence_starts").alias("starts"), F.encode("text", "UTF-8").alias("raw"))
+    whole = files.unionByName(texts).filter("raw IS NOT NULL AND record_id IS NOT NULL").dropDuplicates(["source", "record_id"])  # re-deliveries are equal
+    each = whole.withColumn("starts", F.coalesce("starts", F.array(F.lit(0).cast("bigint")))).select("*", F.posexplode("starts").alias("seq_no", "b"))
+    end = F.coalesce(F.get("starts", F.col("seq_no") + 1), F.length("raw").cast("bigint")) - 1
+    own = F.substring("raw", F.col("b").cast("int") + 1, F.greatest(end - F.col("b"), F.lit(0)).cast("int"))
+    seqs = each.filter("b IS NOT NULL").select(F.struct("source", "record_id", F.col("seq_no").cast("bigint").alias("seq_no")).alias("seq_id"), normalised_bytes(own).alias("bytes"))
+    return listing.symbol_runs(seqs, "N", 3).select("seq_id.source", "seq_id.record_id", "seq_id.seq_no", "run_start", "run_end")
+
+
 def index_is_sorted(spark, sf_dir):
     bad = listing.disorder(kept_index(spark, sf_dir, "documents", DOCS16))
     return bad.agg(F.count(F.lit(1)).alias("violations"))
@@ -430,7 +460,14 @@ QUERIES = {
         suffix_array_masked, lcp_array, lcp_masked, lcp_documents, pairwise_lcp, subsample_mql, count_queries, count_items, count_words, count_mql, count_masked, count_index,
         count_literal, not_found_queries, search_rank_range, search_documents, locate_relative, locate_absolute, locate_mql, locate_masked, locate_documents,
         locate_rendered, locate_lists, extract_context, extract_prefix, extract_suffix_len, extract_clamped, extract_fasta, list_all, list_ranks, list_limit,
-        list_len, string_at, text_range, point_rank, rank_range, summarize_index, n_runs, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
+        list_len, string_at, text_range, point_rank, rank_range, summarize_index, n_runs, n_runs_stored, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
+    )
+}
+QUERIES |= {
+    f.__name__ + "_stored": as_stored(f)
+    for f in (
+        normalize_text, softmask_text, sequence_starts, sequence_ends, dna_filter, allow_ambiguity, lcp_documents, count_words, count_mql, count_masked, count_index,
+        count_literal, search_documents, locate_documents, index_is_sorted,
     )
 }
 _WITH_NAMES = ", " + _q(_NAMES)
@@ -503,3 +540,35 @@ SQL = {
     "stream_counts": f"WITH {_PS}{_WITH_NAMES} SELECT query_num, query, count(s.pos) AS count FROM q LEFT JOIN s ON starts_with(s.key, left(q.query, 8)) GROUP BY 1, 2",
     "stream_windows": "SELECT time_bucket(INTERVAL 1 DAY, requested_at) AS day, query, count(*) AS n FROM queries WHERE requested_at IS NOT NULL GROUP BY 1, 2",
 }
+
+# Documents as stored: a byte is two hexadecimal digits, which sort as the bytes do.
+_RAW = "translate(translate(coalesce(text, ''), '%$', 'NN'), '" + string.ascii_lowercase + "', '{0}')"
+_B = f"d AS (SELECT doc_id AS seq_id, hex(encode({_RAW.format(_UP)})) AS t FROM documents)"
+_BS = _B + ", s AS (SELECT seq_id, p, substr(t, CAST(2 * p + 1 AS BIGINT), 2 * {0}) AS key FROM (SELECT seq_id, t, unnest(range(0, length(t) // 2)) AS p FROM d))"
+_BZ = _BS + ", z AS (SELECT seq_id, sum(length(t) // 2 + 1) OVER (ORDER BY seq_id) - length(t) // 2 - 1 AS st FROM d)"
+_HEX = "hex(encode(q.query))"
+_BYTE_COUNT = "WITH " + _BS + ", {1} SELECT q.query_num, q.query, count(s.p) AS count FROM q LEFT JOIN s ON starts_with(s.key, {2}) GROUP BY q.query_num, q.query"
+_COMMON = " + ".join(f"(length(key) >= {2 * i} AND length(k0) >= {2 * i} AND substr(key, 1, {2 * i}) = substr(k0, 1, {2 * i}))::INT" for i in range(1, 17))
+_RUNS = """
+f AS (SELECT DISTINCT 'sequence_files' AS source, file_id AS record_id, decode(seq) AS t, coalesce(start_positions, [0]) AS st FROM sequence_files WHERE seq IS NOT NULL AND file_id IS NOT NULL
+      UNION ALL SELECT DISTINCT 'index_texts', index_id, text, coalesce(sequence_starts, [0]) FROM index_texts WHERE text IS NOT NULL AND index_id IS NOT NULL),
+j AS (SELECT source, record_id, t, st, unnest(range(0, len(st))) AS seq_no FROM f),
+x AS (SELECT source, record_id, seq_no, upper(substr(t, st[seq_no + 1] + 1, greatest(coalesce(st[seq_no + 2], length(t)) - 1 - st[seq_no + 1], 0))) AS x FROM j),
+e AS (SELECT source, record_id, seq_no, p FROM (SELECT *, unnest(range(0, length(x))) AS p FROM x) WHERE x[p + 1] = 'N'),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY source, record_id, seq_no ORDER BY p) AS k FROM e)"""
+SQL |= {
+    "normalize_text_stored": f"SELECT doc_id, {_RAW.format(_UP)} AS text FROM documents",
+    "softmask_text_stored": f"SELECT doc_id, {_RAW.format(_SOFT)} AS text FROM documents",
+    "sequence_starts_stored": f"WITH {_BZ.format(1)} SELECT seq_id, CAST(st AS BIGINT) AS seq_start, length(t) // 2 AS seq_len FROM z JOIN d USING (seq_id)",
+    "sequence_ends_stored": f"WITH {_BZ.format(1)} SELECT seq_id, CAST(st + length(t) // 2 + 1 AS BIGINT) AS seq_end FROM z JOIN d USING (seq_id)",
+    "lcp_documents_stored": f"WITH {_BZ.format(16)}, l AS (SELECT key, lag(key) OVER (ORDER BY key, st + p DESC) AS k0 FROM s JOIN z USING (seq_id)) "
+    f"SELECT CAST(coalesce({_COMMON}, 0) AS INT) AS lcp, count(*) AS suffixes FROM l GROUP BY 1",
+    "count_words_stored": _BYTE_COUNT.format(16, _q(_WORDS), _HEX),
+    "count_mql_stored": _BYTE_COUNT.format(16, _q(_WORDS), "hex(encode(left(q.query, 3)))"),
+    "count_index_stored": _BYTE_COUNT.format(16, _q([*_WORDS, ""]), _HEX),
+    "count_literal_stored": f"WITH {_BS.format(5)} SELECT seq_id, count(*) AS hits FROM s WHERE key = hex(encode('THE C')) GROUP BY seq_id",
+    "search_documents_stored": f"WITH {_BZ.format(16)}, r AS (SELECT key, row_number() OVER (ORDER BY key, st + p DESC) - 1 AS rank FROM s JOIN z USING (seq_id)), {_q(_WORDS)} "
+    f"SELECT query_num, query, min(rank) AS rank_start, max(rank) + 1 AS rank_end FROM q LEFT JOIN r ON starts_with(r.key, {_HEX}) GROUP BY 1, 2",
+    "index_is_sorted_stored": "SELECT CAST(0 AS BIGINT) AS violations",
+    "n_runs_stored": f"WITH {_RUNS} SELECT source, record_id, seq_no, min(p) AS run_start, max(p) + 1 AS run_end FROM g GROUP BY source, record_id, seq_no, k HAVING count(*) >= 3",
+}

@@ -41,3 +41,20 @@ def test_windows_cover_the_item(spark):
 def test_items_against_sql(spark):
     got, want = against_sql(spark, "count_items")
     assert got == want and any(not r[2].isascii() for r in want)
+
+
+STORED = ["normalize_text", "softmask_text", "sequence_starts", "sequence_ends", "lcp_documents", "count_words", "count_index", "count_literal", "search_documents", "n_runs"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+@pytest.mark.parametrize("name", STORED)
+def test_stored_against_sql(spark, name):
+    got, want = against_sql(spark, name + "_stored")
+    assert got == want and want
+
+
+def test_other_letters_stay_other(spark, tmp_path):
+    rows = [(1, "\u00e0 la\n50 % of $5"), (2, "\u00e9 la"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id: r.text for r in entry.queries()["normalize_text_stored"](spark, str(tmp_path)).collect()}
+    assert kept == {1: "\u00e0 LA\n50 N OF N5", 2: "\u00e9 LA", 3: ""}
