@@ -59,8 +59,8 @@ def alignments(index: PositionalIndex, item: np.ndarray, run: int) -> np.ndarray
     return np.unique(np.concatenate(found))
 
 
-def exact_runs(tokens: np.ndarray, starts: np.ndarray, item: np.ndarray, run: int) -> Iterator[tuple[int, int, int]]:
-    """``(start, longest, matched)`` of the alignments with at least ``run`` equal words in a row.
+def exact_runs(tokens: np.ndarray, starts: np.ndarray, item: np.ndarray, run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and lengths of the runs of at least ``run`` equal words, for each alignment that has any.
 
     ``tokens`` has ``len(item)`` gaps on either side; ``starts`` counts from the first real token.
     """
@@ -71,8 +71,10 @@ def exact_runs(tokens: np.ndarray, starts: np.ndarray, item: np.ndarray, run: in
         full = sliding_window_view(same, run, axis=1).all(axis=2)
         for k in np.flatnonzero(full.any(axis=1)).tolist():
             edge = np.diff(same[k].astype(np.int8), prepend=0, append=0)
-            lengths = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
-            yield int(some[k]), int(lengths.max()), int(lengths[lengths >= run].sum())
+            begin = np.flatnonzero(edge == 1)
+            lengths = np.flatnonzero(edge == -1) - begin
+            long = lengths >= run
+            yield some[k] + begin[long], lengths[long]
 
 
 def near_places(index: PositionalIndex, terms: np.ndarray, doc_starts: np.ndarray, width: int, least: int) -> dict[int, int]:
@@ -143,10 +145,12 @@ def _search(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, list
         tokens = np.concatenate([pad, real, pad])
         for item_id, item in coded:
             shifted = tokens[len(pad) - len(item) :]
-            for s, longest, matched in exact_runs(shifted, alignments(index, item, run), item, run):
-                d = int(np.searchsorted(starts, _run_place(shifted, s, item, run), side="right")) - 1
-                old = rows.get((ids[d], item_id), (0, 0, 0))
-                rows[ids[d], item_id] = (max(old[0], longest), max(old[1], matched), len(item))
+            for places, lengths in exact_runs(shifted, alignments(index, item, run), item, run):
+                at = np.searchsorted(starts, places, side="right") - 1  # an alignment may go on in the next document, a run can't
+                for d in np.unique(at).tolist():
+                    own = lengths[at == d]
+                    old = rows.get((ids[d], item_id), (0, 0, 0))
+                    rows[ids[d], item_id] = (max(old[0], int(own.max())), max(old[1], int(own.sum())), len(item))
         return [(*k, *v) for k, v in rows.items()]
 
     return _blocks(docs, doc_id, text, vocabulary, block_tokens, answer, _SCHEMA, HITS)
@@ -225,13 +229,6 @@ def find_near(
     return found.groupBy("doc_id", "item_id").agg(F.max("terms").alias("terms"))
 
 
-def _run_place(tokens: np.ndarray, start: int, item: np.ndarray, run: int) -> int:
-    """A position inside the first full run of this alignment."""
-    n = len(item)
-    same = tokens[start + n + np.arange(n)] == item
-    return start + int(np.flatnonzero(sliding_window_view(same, run).all(axis=1))[0])
-
-
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,

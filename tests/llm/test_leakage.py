@@ -109,3 +109,11 @@ def test_a_whole_copy_of_any_item_is_near(spark):
     assert {(i, i) for i, _ in items} <= {r[:2] for r in whole} and not any(r[0] == 7 for r in whole)
     # which words tell doesn't hang on the blocks the items fall into
     assert sorted(tuple(r) for r in find_near(df, it, block_items=1).collect()) == whole
+
+
+def test_an_alignment_over_two_documents_is_two_leaks(spark):
+    w = [f"w{i}" for i in range(27)]
+    docs = [(0, "x " + " ".join(w[:12])), (1, " ".join(w[13:27]) + " y"), (2, " ".join(w))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    it = spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")
+    assert sorted(tuple(r) for r in find_leaks(df, it).collect()) == [(0, 5, 12, 12, 27), (1, 5, 14, 14, 27), (2, 5, 27, 27, 27)]
