@@ -323,6 +323,13 @@ def string_at(spark, sf_dir):
     return search.text_ranges(ix, at, "pos", "stop").select("pos", "text")
 
 
+def string_at_all(spark, sf_dir):
+    """Twelve symbols of the joined text at every position, fewer at its end."""
+    ix = kept_index(spark, sf_dir, "part", PART8)
+    at = spark.range(0, ix.text_len).select(F.col("id").alias("pos"), F.least(F.col("id") + 12, F.lit(ix.text_len)).alias("stop"))
+    return search.text_ranges(ix, at, "pos", "stop").select("pos", "text")
+
+
 def text_range(spark, sf_dir):
     ix = kept_index(spark, sf_dir, "part", PART8)
     ask = spark.createDataFrame([(0, 40), (100, 700)], "start bigint, stop bigint")
@@ -460,7 +467,7 @@ QUERIES = {
         suffix_array_masked, lcp_array, lcp_masked, lcp_documents, pairwise_lcp, subsample_mql, count_queries, count_items, count_words, count_mql, count_masked, count_index,
         count_literal, not_found_queries, search_rank_range, search_documents, locate_relative, locate_absolute, locate_mql, locate_masked, locate_documents,
         locate_rendered, locate_lists, extract_context, extract_prefix, extract_suffix_len, extract_clamped, extract_fasta, list_all, list_ranks, list_limit,
-        list_len, string_at, text_range, point_rank, rank_range, summarize_index, n_runs, n_runs_stored, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
+        list_len, string_at, string_at_all, text_range, point_rank, rank_range, summarize_index, n_runs, n_runs_stored, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
     )
 }
 QUERIES |= {
@@ -526,6 +533,7 @@ SQL = {
     "list_limit": f"WITH {_PL} SELECT rank, pos AS suffix, lcp, substr(x, pos + 1, 12) AS text FROM c, w WHERE rank < 7",
     "list_len": f"WITH {_PL} SELECT rank, left(key, 3) AS text FROM c",
     "string_at": f"WITH {_P} SELECT p AS pos, substr(x, p + 1, 12) AS text FROM (SELECT unnest(range(0, length(x), 97)) AS p, x FROM w)",
+    "string_at_all": f"WITH {_P} SELECT p AS pos, substr(x, p + 1, 12) AS text FROM (SELECT unnest(range(0, length(x))) AS p, x FROM w)",
     "text_range": f"WITH {_P} SELECT CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS stop, substr(x, a + 1, b - a) AS text FROM (VALUES (0, 40), (100, 700)) v(a, b), w",
     "point_rank": f"WITH {_PL} SELECT rank, pos, lcp FROM c WHERE rank = 42",
     "rank_range": f"WITH {_PL} SELECT rank, pos, lcp FROM c WHERE rank BETWEEN 10 AND 59",

@@ -58,3 +58,9 @@ def test_other_letters_stay_other(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     kept = {r.doc_id: r.text for r in entry.queries()["normalize_text_stored"](spark, str(tmp_path)).collect()}
     assert kept == {1: "\u00e0 LA\n50 N OF N5", 2: "\u00e9 LA", 3: ""}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_every_position_is_asked(spark):
+    got, want = against_sql(spark, "string_at_all")
+    assert got == want and sorted(p for p, _ in got) == list(range(len(got)))
