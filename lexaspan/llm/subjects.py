@@ -3,9 +3,10 @@
 Normalised document vectors of a bounded labelled sample are clustered by
 bisecting k-means, with term weights taken anew in every node, so that languages
 part first and subjects below them. Each leaf is labelled by the subjects of its
-members and passes them to its discriminative terms. A document is the mixture of
-the leaves its sentences speak for; subjects whose part of the mixture reaches a
-threshold are its own.
+members and passes them to its discriminative terms. These only start a sentence
+classifier: rounds of labelling sentences and terms in turn replace their weights.
+A document is the mixture of the best subjects of its sentences, without a look at
+the leaves; subjects whose part of the mixture reaches a threshold are its own.
 """
 
 from __future__ import annotations
