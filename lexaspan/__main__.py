@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import sys
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from lexaspan.operators import listing, render, search
 from lexaspan.operators.corpus import BuildOptions, sequences
 from lexaspan.operators.index import SuffixIndex
+from lexaspan.operators.sampled import SampledIndex
 from lexaspan.sources.fasta import query_list, read_sequences
 
 
+logger = logging.getLogger("lexaspan")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexaspan", description=__doc__)
     p.add_argument("--master", help="Spark master (default: the session's own, or all local cores)")
+    p.add_argument("--threads", type=int, help="cores of a local run")
+    p.add_argument("--log", choices=["error", "warn", "info", "debug"], default="error", help="what is logged")
+    p.add_argument("--log-file", help="file for the messages of the command (default: the error stream)")
     sub = p.add_subparsers(dest="command", required=True)
 
     create = sub.add_parser("create", aliases=["cr"], help="build an index of a FASTA or FASTQ file")
@@ -36,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("index")
         s.add_argument("query", nargs="+", help="a query, or a file of queries")
         s.add_argument("--max-query-len", type=int)
+        s.add_argument("--sampled", action="store_true", help="look queries up in a kept sub-sample of that length")
         s.add_argument("--output")
         if name == "locate":
             s.add_argument("--absolute", action="store_true", help="positions in the joined text, by rank")
@@ -70,6 +80,14 @@ def _emit(lines: DataFrame, column: str, output: str | None) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Run one command; how long it took is logged at level info."""
+    began = time.time()
+    code = _run(spark, args)
+    logger.info("%s took %.3f s", args.command, time.time() - began)
+    return code
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     command = args.command[:2]
     if command == "cr":
         options = BuildOptions(args.dna, args.allow_ambiguity, args.ignore_softmask, args.max_query_len, args.seed_mask, args.delimiter)
@@ -88,7 +106,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print("sorted" if not bad else f"{bad} neighbours out of order")
         return int(bad > 0)
     if command in ("ls", "li"):
-        ranks = [r for text in args.ranks for r in listing.parse_ranks(text)]
+        ranks = [r for text in args.ranks for r in listing.parse_rank_ranges(text)]
         for r in listing.invalid_ranks(index, ranks):
             print(f"Invalid rank: {r}", file=sys.stderr)
         rows = listing.list_rows(index, ranks, args.number, args.len)
@@ -96,28 +114,30 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return 0
     queries = query_list(spark, args.query)
     if command == "co":
-        _emit(render.count_lines(search.count(index, queries, args.max_query_len)), "line", args.output)
+        counted = SampledIndex(index, args.max_query_len).count(queries) if args.sampled else search.count(index, queries, args.max_query_len)
+        _emit(render.count_lines(counted), "line", args.output)
         return 0
-    hits = search.search(index, queries, args.max_query_len)
+    hits = SampledIndex(index, args.max_query_len).search(queries) if args.sampled else search.search(index, queries, args.max_query_len)
     for r in search.missing(hits, queries).orderBy("query_num").toLocalIterator():
         print(f"{r.query} not found", file=sys.stderr)
     if command == "lo":
-        located = search.locate(index, queries, args.max_query_len)
+        located = search.located(index, hits)
         lines = render.locate_absolute_lines(located) if args.absolute else render.locate_blocks(located)
         _emit(lines, "line" if args.absolute else "block", args.output)
     else:
         mode = "clamped" if args.clamped else "compat"
-        _emit(render.extract_fasta(search.extract(index, queries, args.prefix_len, args.suffix_len, mode, args.max_query_len)), "record", args.output)
+        _emit(render.extract_fasta(search.extracted(index, hits, args.prefix_len, args.suffix_len, mode)), "record", args.output)
     return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     builder = SparkSession.builder.appName("lexaspan")
-    if args.master:
-        builder = builder.master(args.master)
+    if args.master or args.threads:
+        builder = builder.master(args.master or f"local[{args.threads}]")
+    logging.basicConfig(filename=args.log_file, level=args.log.upper(), format="%(asctime)s %(levelname)s %(message)s")
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel(args.log.upper())
     return run(spark, args)
 
 

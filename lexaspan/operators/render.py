@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +50,25 @@ def list_lines(rows: DataFrame, text_len: int, rank: bool = False, suffix: bool
     return rows.select("ordinal", F.concat_ws(" ", *shown, "text").alias("line")).orderBy("ordinal")
 
 
-def summary(index: SuffixIndex, wrap: int = 40, names: int = 1000) -> list[tuple[str, str]]:
-    """The name and value rows of an index; lists of starts and names show the first ``names``."""
+def summary(index: SuffixIndex, wrap: int = 40, names: int | None = None) -> list[tuple[str, str]]:
+    """The name and value rows of an index, with the starts and names of all sequences, or of the first ``names``.
+
+    The starts and names pass through the driver a partition at a time and are kept
+    as the text that is shown.
+    """
     m = index.metadata
-    seqs = index.sequences().orderBy("seq_start").limit(names).select("seq_start", "seq_name").collect()
+    own = index.sequences().orderBy("seq_start").select("seq_start", "seq_name")
+    starts, called = [], []
+    for r in (own if names is None else own.limit(names)).toLocalIterator():
+        starts.append(str(r.seq_start))
+        called.append(r.seq_name)
     shown = lambda xs: "\n".join(textwrap.wrap(", ".join(xs), wrap))
     last = ("Seed mask", m["seed_mask"]) if m["seed_mask"] else ("Max query len", f"{m['max_query_len']:,}")
+    size, written = index.size_and_time()
     return [
         ("Filename", m["filename"]),
+        ("Modified", time.strftime("%Y-%m-%d %H:%M", time.localtime(written))),
+        ("File Size", f"{size:,} bytes"),
         ("File Version", str(m["file_version"])),
         ("DNA", str(m["is_dna"]).lower()),
         ("Allow Ambiguity", str(m["allow_ambiguity"]).lower()),
@@ -65,6 +77,6 @@ def summary(index: SuffixIndex, wrap: int = 40, names: int = 1000) -> list[tuple
         ("Len Suffixes", f"{m['len_suffixes']:,}"),
         last,
         ("Num sequences", f"{m['num_sequences']:,}"),
-        ("Sequence starts", shown([str(r.seq_start) for r in seqs])),
-        ("Sequence names", shown([r.seq_name for r in seqs])),
+        ("Sequence starts", shown(starts)),
+        ("Sequence names", shown(called)),
     ]

@@ -9,16 +9,18 @@ UTF-8 bytes of the documents as stored, but for the delimiter and the sentinel.
 from __future__ import annotations
 
 import string
+import time
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaspan.functions.mask import SeedMask
-from lexaspan.functions.symbols import DELIMITER, SENTINEL, common_prefix, normalised, normalised_bytes, one_byte_text
+from lexaspan.functions.symbols import DELIMITER, SENTINEL, normalised, normalised_bytes, one_byte_text
 from lexaspan.operators import listing, render, search
 from lexaspan.operators.corpus import BuildOptions, sequences, suffix_rows, with_surroundings
 from lexaspan.operators.index import SuffixIndex
+from lexaspan.operators.sampled import SampledIndex
 from lexaspan.runtime import materialise, read_table
 
 MASK = "11011"
@@ -56,11 +58,21 @@ def part_sequences(spark: SparkSession, sf_dir: str, options: BuildOptions) -> D
     return sequences(rows, options, "p_partkey", None, "p_name")
 
 
+def text_sequences(spark: SparkSession, sf_dir: str, options: BuildOptions) -> DataFrame:
+    """Every sequence of ``index_texts``, joined anew to one text in order of index and place."""
+    own = read_table(spark, sf_dir, "index_texts").filter("text IS NOT NULL AND index_id IS NOT NULL").dropDuplicates(["index_id"])
+    starts = F.coalesce("sequence_starts", F.array(F.lit(0).cast("bigint")))
+    each = own.select("index_id", "text", starts.alias("st")).select("*", F.posexplode("st").alias("seq_no", "b"))
+    end = F.coalesce(F.get("st", F.col("seq_no") + 1), F.char_length("text").cast("bigint")) - 1
+    text = F.translate(F.substring("text", F.col("b").cast("int") + 1, F.greatest(end - F.col("b"), F.lit(0)).cast("int")), DELIMITER + SENTINEL, "NN")
+    return sequences(each.select((F.col("index_id") * 1_000_000 + F.col("seq_no")).alias("seq_id"), text.alias("text")), options, "seq_id", None, "text")
+
+
 def kept_index(spark: SparkSession, sf_dir: str, corpus: str, options: BuildOptions) -> SuffixIndex:
     """The index of a corpus, built once a session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, corpus, options, _STORED.get())
     if key not in _KEPT:
-        make = doc_sequences if corpus == "documents" else part_sequences
+        make = {"documents": doc_sequences, "part": part_sequences, "texts": text_sequences}[corpus]
         _KEPT[key] = SuffixIndex.build(make(spark, sf_dir, options), options, name=corpus)
     return _KEPT[key]
 
@@ -75,13 +87,6 @@ def literal_queries(spark: SparkSession, words: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(words)), "query_num int, query string")
 
 
-def item_queries(spark: SparkSession, sf_dir: str, width: int = 24) -> DataFrame:
-    """Two windows of each test item."""
-    text = normalised(one_byte_text(F.coalesce("text", F.lit(""))))
-    rows = read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(F.substring(text, 1, width), F.substring(text, 1 + 2 * width, width))).alias("k", "query"))
-    return rows.filter(F.length("query") == width).select((F.col("item_id") * 2 + F.col("k")).cast("int").alias("query_num"), "query")
-
-
 def item_windows(items: DataFrame, width: int = 24) -> DataFrame:
     """Windows of ``width`` characters side by side over each item and one flush with its end: none of the text is left out.
 
@@ -157,23 +162,18 @@ def lcp_documents(spark, sf_dir):
 
 
 def pairwise_lcp(spark, sf_dir):
-    """Common prefix of each name with the start of the next sequence."""
+    """What each name has in common with what stands at the start of the next, read off the joined text by position."""
+    ix = kept_index(spark, sf_dir, "part", PART8)
     p = part_sequences(spark, sf_dir, PART8)
-    a = p.select("number", "seq_id", "bytes")
-    b = p.select((F.col("number") - 1).alias("number"), F.col("bytes").alias("other"))
-    return a.join(b, "number").select("seq_id", common_prefix(F.col("bytes"), F.col("other"), 16).alias("lcp"))
+    b = p.select((F.col("number") - 1).alias("number"), F.col("seq_start").alias("b"))
+    pairs = p.select("number", "seq_id", F.col("seq_start").alias("a")).join(b, "number").select("seq_id", "a", "b")
+    return search.common_prefixes(ix, pairs, 16).select("seq_id", "lcp")
 
 
 def subsample_mql(spark, sf_dir):
     return kept_index(spark, sf_dir, "part", PART8).subsample(3).select("rank", "pos")
 
 
-def count_queries(spark, sf_dir):
-    """Windows of the test items counted in all documents."""
-    o = BuildOptions(max_query_len=24, scope="sequence")
-    return search.count_in(_unplaced(docs(spark, sf_dir)), item_queries(spark, sf_dir), o)
-
-
 def _unplaced(rows: DataFrame) -> DataFrame:
     """Documents as sequences whose offsets nobody asks for."""
     own = F.encode(normalised(F.col("text")), "UTF-8")
@@ -213,6 +213,63 @@ def count_literal(spark, sf_dir):
     return hits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def count_sampled(spark, sf_dir):
+    """Counts of queries cut to five symbols through the kept sub-sample of the documents' index."""
+    return SampledIndex(kept_index(spark, sf_dir, "documents", DOCS16), 5).count(literal_queries(spark, [*_WORDS, ""]))
+
+
+def locate_sampled(spark, sf_dir):
+    """Positions by the ranks that a sub-sample gives."""
+    hits = SampledIndex(kept_index(spark, sf_dir, "part", PART8), 3).search(literal_queries(spark, _NAMES))
+    return hits.select("query_num", "query", "rank", "pos")
+
+
+def long_queries(spark, sf_dir) -> DataFrame:
+    """Of every 50th name what follows its start, 17 to 60 symbols, over the ends of names."""
+    ix = kept_index(spark, sf_dir, "part", PART_FULL)
+    own = ix.sequences().filter("seq_id % 50 = 0").select(F.col("seq_id").cast("int").alias("query_num"), "seq_start", F.least(F.col("seq_start") + 17 + F.col("seq_id") % 44, F.lit(ix.text_len)).alias("stop"))
+    return search.text_ranges(ix, own, "seq_start", "stop", ["query_num"]).select("query_num", F.col("text").alias("query"))
+
+
+def count_full(spark, sf_dir):
+    """Long queries counted through the whole-suffix index."""
+    return search.count(kept_index(spark, sf_dir, "part", PART_FULL), long_queries(spark, sf_dir))
+
+
+def locate_full(spark, sf_dir):
+    return search.locate(kept_index(spark, sf_dir, "part", PART_FULL), long_queries(spark, sf_dir)).select("query_num", "rank", "suffix", "sequence_name", "sequence_position")
+
+
+def extract_full(spark, sf_dir):
+    out = search.extract(kept_index(spark, sf_dir, "part", PART_FULL), long_queries(spark, sf_dir), 5, 50, "compat")
+    return out.select("query_num", "rank", "sequence_name", "range_start", "range_end", "suffix_offset", "text")
+
+
+def lcp_full(spark, sf_dir):
+    """Common prefixes of neighbours among the whole suffixes of all index texts: how many have which."""
+    return kept_index(spark, sf_dir, "texts", PART_FULL).suffixes().groupBy("lcp").agg(F.count(F.lit(1)).alias("suffixes"))
+
+
+def count_requests(spark, sf_dir):
+    """Every query string of the requests counted through the whole-suffix index of all index texts."""
+    q = read_table(spark, sf_dir, "queries").filter("query IS NOT NULL").select(F.col("query").alias("query_num"), "query").distinct()
+    return search.count(kept_index(spark, sf_dir, "texts", PART_FULL), q).select("query", "count")
+
+
+def locate_requests(spark, sf_dir):
+    """Where the queries of every 50th request stand in the index texts."""
+    q = read_table(spark, sf_dir, "queries").filter("request_id % 50 = 0 AND query <> ''").select(F.col("query").alias("query_num"), "query").distinct()
+    hits = search.search(kept_index(spark, sf_dir, "texts", PART_FULL), q)
+    return hits.select("query", F.floor(F.col("seq_id") / 1_000_000).alias("index_id"), (F.col("seq_id") % 1_000_000).alias("seq_no"), "seq_pos")
+
+
+def requests_in_texts(spark, sf_dir):
+    """The same counts straight from the texts, without an index."""
+    q = read_table(spark, sf_dir, "queries").filter("query IS NOT NULL").select(F.col("query").alias("query_num"), "query").distinct()
+    o = BuildOptions(max_query_len=256)
+    return search.count_in(text_sequences(spark, sf_dir, o), q, o).select("query", "count")
+
+
 def not_found_queries(spark, sf_dir):
     q = literal_queries(spark, _NAMES)
     return search.missing(search.search(kept_index(spark, sf_dir, "part", PART8), q), q)
@@ -220,12 +277,12 @@ def not_found_queries(spark, sf_dir):
 
 def search_rank_range(spark, sf_dir):
     q = literal_queries(spark, _NAMES)
-    return search.rank_ranges(search.search(kept_index(spark, sf_dir, "part", PART8), q), q)
+    return search.rank_ranges_of(kept_index(spark, sf_dir, "part", PART8), q)
 
 
 def search_documents(spark, sf_dir):
     q = literal_queries(spark, _WORDS)
-    return search.rank_ranges(search.search(kept_index(spark, sf_dir, "documents", DOCS16), q), q)
+    return search.rank_ranges_of(kept_index(spark, sf_dir, "documents", DOCS16), q)
 
 
 def _located(spark, sf_dir, options=PART8, cut=None):
@@ -317,17 +374,10 @@ def list_len(spark, sf_dir):
 
 
 def string_at(spark, sf_dir):
-    """Twelve symbols of the joined text at every 97th position."""
-    ix = kept_index(spark, sf_dir, "part", PART8)
-    at = spark.range(0, ix.text_len, 97).select(F.col("id").alias("pos"), F.least(F.col("id") + 12, F.lit(ix.text_len)).alias("stop"))
-    return search.text_ranges(ix, at, "pos", "stop").select("pos", "text")
-
-
-def string_at_all(spark, sf_dir):
     """Twelve symbols of the joined text at every position, fewer at its end."""
     ix = kept_index(spark, sf_dir, "part", PART8)
     at = spark.range(0, ix.text_len).select(F.col("id").alias("pos"), F.least(F.col("id") + 12, F.lit(ix.text_len)).alias("stop"))
-    return search.text_ranges(ix, at, "pos", "stop").select("pos", "text")
+    return search.text_ranges(ix, at, "pos", "stop", ["pos"]).select("pos", "text")
 
 
 def text_range(spark, sf_dir):
@@ -345,12 +395,13 @@ def rank_range(spark, sf_dir):
 
 
 def summarize_index(spark, sf_dir):
+    """The facts of an index, its lists unwrapped; size and time of the files are left to the tests."""
     rows = render.summary(kept_index(spark, sf_dir, "part", PART8))
-    return spark.createDataFrame([r for r in rows if not r[0].startswith(("Sequence", "Filename"))], "name string, value string")
+    return spark.createDataFrame([(k, v.replace("\n", " ")) for k, v in rows if k not in ("Modified", "File Size")], "name string, value string")
 
 
 def n_runs(spark, sf_dir):
-    """Runs of 16 or more N in the normalised documents."""
+    """Runs of three or more N in the normalised documents."""
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("seq_id"), F.encode(normalised(F.col("text")), "UTF-8").alias("bytes"))
     return listing.symbol_runs(rows, "N", 3)
 
@@ -402,26 +453,23 @@ def stream_counts(spark, sf_dir):
 
 
 def stream_windows(spark, sf_dir):
-    """Requests a day for each query string, through a watermarked stream."""
+    """Requests a day for each query string in append mode: rows later than the watermark are dropped, and only closed days come out.
+
+    The requests arrive in two batches, those received before 2025 and the others.
+    """
     from lexaspan.runtime import scratch_path
     from lexaspan.streaming.queries import count_windows
 
-    q = spark.readStream.schema(read_table(spark, sf_dir, "queries").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "queries"))
-    name = "windows_" + scratch_path(spark, "w").rpartition("-")[2]
-    q = q.withColumn("requested_at", F.col("requested_at").cast("timestamp"))
-    counted = count_windows(q, "requested_at", "100000 days")
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "stream")).start()
+    folder, out = scratch_path(spark, "requests"), scratch_path(spark, "windows")
+    rows = read_table(spark, sf_dir, "queries").filter("received_at IS NOT NULL").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    for late in (False, True):
+        some = rows.filter((F.col("received_at") >= F.lit("2025-01-01").cast("timestamp_ntz")) == late).select("requested_at", "query")
+        some.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # a stream takes files in order of their times
+    stream = spark.readStream.schema("requested_at timestamp, query string").option("maxFilesPerTrigger", 1).parquet(folder)
+    run = count_windows(stream, "requested_at", "3 days").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "query", "n")
-
-
-def _folder(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """A folder that holds the table's files alone, as a stream source needs one."""
-    from lexaspan.runtime import scratch_path
-
-    path = scratch_path(spark, table)
-    read_table(spark, sf_dir, table).write.parquet(path)
-    return path
+    return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "query", "n")
 
 
 _ONE = "translate(regexp_replace(coalesce({0}, ''), '[^ -#&-~]', 'N', 'g'), '" + string.ascii_lowercase + "', '{1}')"
@@ -464,10 +512,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, softmask_text, sequence_starts, sequence_ends, suffix_enumerate, dna_filter, allow_ambiguity, suffix_array_full, suffix_array_mql,
-        suffix_array_masked, lcp_array, lcp_masked, lcp_documents, pairwise_lcp, subsample_mql, count_queries, count_items, count_words, count_mql, count_masked, count_index,
-        count_literal, not_found_queries, search_rank_range, search_documents, locate_relative, locate_absolute, locate_mql, locate_masked, locate_documents,
+        suffix_array_masked, lcp_array, lcp_masked, lcp_documents, pairwise_lcp, subsample_mql, count_items, count_words, count_mql, count_masked, count_index,
+        count_literal, count_sampled, locate_sampled, count_full, locate_full, extract_full, lcp_full, count_requests, locate_requests, requests_in_texts, not_found_queries, search_rank_range, search_documents, locate_relative, locate_absolute, locate_mql, locate_masked, locate_documents,
         locate_rendered, locate_lists, extract_context, extract_prefix, extract_suffix_len, extract_clamped, extract_fasta, list_all, list_ranks, list_limit,
-        list_len, string_at, string_at_all, text_range, point_rank, rank_range, summarize_index, n_runs, n_runs_stored, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
+        list_len, string_at, text_range, point_rank, rank_range, summarize_index, n_runs, n_runs_stored, index_is_sorted, mask_positions, fasta_scan, stream_counts, stream_windows,
     )
 }
 QUERIES |= {
@@ -496,11 +544,8 @@ SQL = {
     "SELECT rank, lcp, CAST([0, 1, 3, 4, 5][lcp + 1] AS INT) AS span FROM c",
     "lcp_documents": f"WITH {_DS.format(16)}, z AS (SELECT seq_id, sum(length(t) + 1) OVER (ORDER BY seq_id) - length(t) - 1 AS st FROM d), "
     f"l AS (SELECT key, lag(key) OVER (ORDER BY key, st + p DESC) AS k0 FROM s JOIN z USING (seq_id)), c AS (SELECT {_lcp('key', 'k0', 16)} AS lcp FROM l) SELECT lcp, count(*) AS suffixes FROM c GROUP BY lcp",
-    "pairwise_lcp": f"WITH {_P}, l AS (SELECT seq_id, t, lead(t) OVER (ORDER BY seq_id) AS u FROM d) SELECT seq_id, {_lcp('t', 'u', 16)} AS lcp FROM l WHERE u IS NOT NULL",
+    "pairwise_lcp": f"WITH {_P}, l AS (SELECT seq_id, st, lead(st) OVER (ORDER BY seq_id) AS b FROM z), m AS (SELECT seq_id, substr(x, CAST(st + 1 AS BIGINT), 16) AS t, substr(x, CAST(b + 1 AS BIGINT), 16) AS u FROM l, w WHERE b IS NOT NULL) SELECT seq_id, {_lcp('t', 'u', 16)} AS lcp FROM m",
     "subsample_mql": f"WITH {_PL} SELECT rank, pos FROM c WHERE lcp < 3",
-    "count_queries": f"WITH {_DS.format(24)}, b AS (SELECT item_id, {_ONE.format('text', _UP)} AS t FROM benchmark), "
-    "q AS (SELECT CAST(item_id * 2 + k AS INT) AS query_num, substr(t, 1 + 48 * k, 24) AS query FROM b, (VALUES (0), (1)) v(k) WHERE length(substr(t, 1 + 48 * k, 24)) = 24) "
-    "SELECT q.query_num, q.query, count(s.p) AS count FROM q LEFT JOIN s ON s.key = q.query GROUP BY q.query_num, q.query",
     "count_items": "WITH d AS (SELECT " + _ASCII_UP + " AS t FROM documents), s AS (SELECT substr(t, p + 1, 24) AS key FROM (SELECT t, unnest(range(0, length(t))) AS p FROM d)), "
     "b AS (SELECT item_id, " + _ASCII_UP + " AS t FROM benchmark WHERE text <> ''), "
     "q AS (SELECT DISTINCT item_id, CAST(a AS INT) AS start, substr(t, a + 1, 24) AS query FROM (SELECT item_id, t, unnest(list_append(range(0, greatest(length(t) - 24, 0) + 1, 24), greatest(length(t) - 24, 0))) AS a FROM b)), "
@@ -532,21 +577,25 @@ SQL = {
     "list_ranks": f"WITH {_PL} SELECT a AS ordinal, rank, pos AS suffix, lcp, left(key, 6) AS text FROM (VALUES (0::BIGINT, 5), (1, 0), (2, 1), (3, 2), (4, 3), (5, 5)) v(a, b) JOIN c ON c.rank = b",
     "list_limit": f"WITH {_PL} SELECT rank, pos AS suffix, lcp, substr(x, pos + 1, 12) AS text FROM c, w WHERE rank < 7",
     "list_len": f"WITH {_PL} SELECT rank, left(key, 3) AS text FROM c",
-    "string_at": f"WITH {_P} SELECT p AS pos, substr(x, p + 1, 12) AS text FROM (SELECT unnest(range(0, length(x), 97)) AS p, x FROM w)",
-    "string_at_all": f"WITH {_P} SELECT p AS pos, substr(x, p + 1, 12) AS text FROM (SELECT unnest(range(0, length(x))) AS p, x FROM w)",
+    "string_at": f"WITH {_P} SELECT p AS pos, substr(x, p + 1, 12) AS text FROM (SELECT unnest(range(0, length(x))) AS p, x FROM w)",
     "text_range": f"WITH {_P} SELECT CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS stop, substr(x, a + 1, b - a) AS text FROM (VALUES (0, 40), (100, 700)) v(a, b), w",
     "point_rank": f"WITH {_PL} SELECT rank, pos, lcp FROM c WHERE rank = 42",
     "rank_range": f"WITH {_PL} SELECT rank, pos, lcp FROM c WHERE rank BETWEEN 10 AND 59",
-    "summarize_index": f"WITH {_PS}, m AS (SELECT (SELECT length(x) FROM w) AS tl, (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM d) AS nq) "
-    "SELECT unnest(['File Version', 'DNA', 'Allow Ambiguity', 'Ignore Softmask', 'Text Length', 'Len Suffixes', 'Max query len', 'Num sequences']) AS name, "
-    "unnest(['1', 'false', 'false', 'false', format('{:,}', tl), format('{:,}', ns), '8', format('{:,}', nq)]) AS value FROM m",
+    "summarize_index": f"WITH {_PS}, m AS (SELECT (SELECT length(x) FROM w) AS tl, (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM d) AS nq, "
+    "(SELECT string_agg(CAST(st AS VARCHAR), ', ' ORDER BY st) FROM z) AS sa, (SELECT string_agg(CAST(seq_id AS VARCHAR), ', ' ORDER BY st) FROM z) AS na) "
+    "SELECT unnest(['Filename', 'File Version', 'DNA', 'Allow Ambiguity', 'Ignore Softmask', 'Text Length', 'Len Suffixes', 'Max query len', 'Num sequences', 'Sequence starts', 'Sequence names']) AS name, "
+    "unnest(['part', '2', 'false', 'false', 'false', format('{:,}', tl), format('{:,}', ns), '8', format('{:,}', nq), replace(sa, '.0', ''), na]) AS value FROM m",
     "n_runs": f"WITH {_D}, e AS (SELECT seq_id, p FROM (SELECT seq_id, t, unnest(range(0, length(t))) AS p FROM d) WHERE substr(t, CAST(p + 1 AS BIGINT), 1) = 'N'), "
     "g AS (SELECT seq_id, p, p - row_number() OVER (PARTITION BY seq_id ORDER BY p) AS k FROM e) SELECT seq_id, min(p) AS run_start, max(p) + 1 AS run_end FROM g GROUP BY seq_id, k HAVING count(*) >= 3",
     "index_is_sorted": "SELECT CAST(0 AS BIGINT) AS violations",
     "mask_positions": "SELECT CAST(i AS INT) AS i, CAST(p AS INT) AS position, CAST(p - i AS INT) AS difference FROM (VALUES (0, 0), (1, 1), (2, 3), (3, 4), (4, 6), (5, 8)) v(i, p)",
     "fasta_scan": "SELECT CAST(p_partkey AS VARCHAR) AS seq_name, regexp_replace(p_name, '\\s', '', 'g') AS bytes FROM part WHERE p_name IS NOT NULL",
     "stream_counts": f"WITH {_PS}{_WITH_NAMES} SELECT query_num, query, count(s.pos) AS count FROM q LEFT JOIN s ON starts_with(s.key, left(q.query, 8)) GROUP BY 1, 2",
-    "stream_windows": "SELECT time_bucket(INTERVAL 1 DAY, requested_at) AS day, query, count(*) AS n FROM queries WHERE requested_at IS NOT NULL GROUP BY 1, 2",
+    "stream_windows": "WITH r AS (SELECT requested_at, query, received_at >= TIMESTAMP '2025-01-01' AS late, time_bucket(INTERVAL 1 DAY, requested_at) AS day FROM queries WHERE received_at IS NOT NULL AND requested_at IS NOT NULL), "
+    "m AS (SELECT coalesce((SELECT max(requested_at) FROM r WHERE NOT late), TIMESTAMP '1970-01-04') - INTERVAL 3 DAY AS first_mark, (SELECT max(requested_at) FROM r) - INTERVAL 3 DAY AS last_mark) "
+    "SELECT day, query, count(*) AS n FROM r, m WHERE (NOT late OR day + INTERVAL 1 DAY > first_mark) AND day + INTERVAL 1 DAY <= last_mark GROUP BY 1, 2",
+    "count_sampled": _DOC_COUNT.format(16, _q([*_WORDS, ""]), "starts_with(s.key, left(q.query, 5))"),
+    "locate_sampled": f"WITH {_PS}{_WITH_NAMES} SELECT query_num, query, rank, pos FROM q JOIN r ON starts_with(r.key, left(q.query, 3))",
 }
 
 # Documents as stored: a byte is two hexadecimal digits, which sort as the bytes do.
@@ -580,3 +629,27 @@ SQL |= {
     "index_is_sorted_stored": "SELECT CAST(0 AS BIGINT) AS violations",
     "n_runs_stored": f"WITH {_RUNS} SELECT source, record_id, seq_no, min(p) AS run_start, max(p) + 1 AS run_end FROM g GROUP BY source, record_id, seq_no, k HAVING count(*) >= 3",
 }
+
+_LONG = _P + """, s AS (SELECT st + o AS pos, seq_id, o AS seq_pos, st, len, substr(x, st + o + 1) AS key FROM n, w),
+r AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS rank FROM s),
+q AS (SELECT CAST(seq_id AS INT) AS query_num, substr(x, CAST(st + 1 AS BIGINT), CAST(17 + seq_id % 44 AS BIGINT)) AS query FROM z, w WHERE seq_id % 50 = 0)"""
+_T = """f AS (SELECT index_id, any_value(text) AS text, any_value(coalesce(sequence_starts, [0])) AS st FROM index_texts WHERE text IS NOT NULL AND index_id IS NOT NULL GROUP BY index_id),
+j AS (SELECT index_id, text, st, unnest(range(0, len(st))) AS seq_no FROM f),
+d AS (SELECT index_id, seq_no, upper(translate(substr(text, st[seq_no + 1] + 1, greatest(coalesce(st[seq_no + 2], length(text)) - 1 - st[seq_no + 1], 0)), '%$', 'NN')) AS t FROM j),
+w AS (SELECT string_agg(t, '%' ORDER BY index_id, seq_no) || '$' AS x FROM d),
+z AS (SELECT index_id, seq_no, CAST(sum(length(t) + 1) OVER (ORDER BY index_id, seq_no) - length(t) - 1 AS BIGINT) AS st, length(t) + 1 AS len FROM d)"""
+_WINDOWS = """, l AS (SELECT DISTINCT length(query) AS n FROM q WHERE query <> ''), m AS (SELECT max(n) AS most FROM l),
+c AS (SELECT a, substr(x, a + 1, 1000 + most) AS y FROM (SELECT unnest(range(0, length(x), 1000)) AS a, x FROM w), m),
+e AS (SELECT a + o AS p, substr(y, o + 1, most) AS y FROM (SELECT a, y, unnest(range(0, least(length(y), 1000))) AS o FROM c), m),
+v AS (SELECT p, n, left(y, n) AS k FROM e, l WHERE n <= length(y))"""
+_ALL = "WITH " + _T + ", q AS (SELECT DISTINCT query FROM queries WHERE query IS NOT NULL)" + _WINDOWS + ", k AS (SELECT k, count(*) AS n FROM v GROUP BY k) SELECT query, CASE WHEN query = '' THEN (SELECT length(x) FROM w) ELSE coalesce(n, 0) END AS count FROM q LEFT JOIN k ON k = query"
+SQL |= {
+    "count_full": f"WITH {_LONG} SELECT query_num, query, count(s.pos) AS count FROM q LEFT JOIN s ON starts_with(s.key, q.query) GROUP BY 1, 2",
+    "locate_full": f"WITH {_LONG} SELECT query_num, rank, pos AS suffix, CAST(seq_id AS VARCHAR) AS sequence_name, seq_pos AS sequence_position FROM q JOIN r ON starts_with(r.key, q.query)",
+    "extract_full": f"WITH {_LONG}, h AS (SELECT query_num, rank, seq_id, seq_pos, st, greatest(seq_pos - 5, 0) AS a, least(seq_pos + 50, st + len) AS b FROM q JOIN r ON starts_with(r.key, q.query)) "
+    "SELECT query_num, rank, CAST(seq_id AS VARCHAR) AS sequence_name, a AS range_start, b AS range_end, seq_pos - a AS suffix_offset, substr(x, st + a + 1, greatest(least(st + b, length(x)) - st - a, 0)) AS text FROM h, w",
+    "count_requests": _ALL,
+    "requests_in_texts": _ALL,
+    "locate_requests": f"WITH {_T}, q AS (SELECT DISTINCT query FROM queries WHERE query <> '' AND request_id % 50 = 0)" + _WINDOWS
+    + " SELECT query, index_id, seq_no, v.p - st AS seq_pos FROM q JOIN v ON k = query JOIN z ON v.p >= st AND v.p < st + len",
+}

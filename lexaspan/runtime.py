@@ -20,19 +20,26 @@ _SCRATCH: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a folder made and set.
+    Where the session names none, the checkpoint folder set on the context serves.
+    Only in local mode (tests, a laptop) is a folder made and set where there is neither;
+    on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or _ROOTS.get(sc.applicationId) or sc.getCheckpointDir()
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _ROOTS.get(app)
-        if not found:
-            found = _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="lexaspan-")
-            spark.sparkContext.setCheckpointDir(found)
-            atexit.register(_remove_local, found)
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _ROOTS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lexaspan-")
+        sc.setCheckpointDir(found)
+        atexit.register(_remove_local, found)
     return found.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` address or plain path, else None."""
     u = urlparse(uri)
@@ -46,7 +53,8 @@ def _remove_local(uri: str) -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def _remove(spark: SparkSession, uri: str) -> None:
+def remove_tree(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of the shared file system."""
     if local_path(uri):
         return _remove_local(uri)
     try:
@@ -61,7 +69,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = f"{shared_dir(spark)}/lexaspan-{app}"
-        atexit.register(_remove, spark, _SCRATCH[app])
+        atexit.register(remove_tree, spark, _SCRATCH[app])
     return f"{_SCRATCH[app]}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -93,6 +101,12 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores where it has fewer partitions than cores; larger data isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

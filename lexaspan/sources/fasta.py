@@ -42,13 +42,22 @@ def _fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Records of four lines each."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.rtrim("value").alias("v")).filter("v <> ''")
+    """Records of four lines each, counted in each file apart.
+
+    Blank lines at the end of a file are none. A record whose first line doesn't begin
+    with ``@`` or whose third doesn't begin with ``+``, or whose qualities don't go
+    with its symbols, ends the read with an error, as a file that was cut does.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("v"))
     numbered = running_offsets(lines.withColumn("one_", F.lit(1)), ["file", "block", "line"], "one_", "lines")
-    four = numbered.groupBy("file", F.lit(0).alias("block"), F.floor(F.col("number") / 4).alias("line")).agg(
-        F.max(F.when(F.col("number") % 4 == 0, F.col("v"))).alias("head"), F.max(F.when(F.col("number") % 4 == 1, F.col("v"))).alias("seq")
-    )
-    return four.select("file", "block", "line", _name(F.substring("head", 2, 1 << 30)).alias("name"), F.coalesce("seq", F.lit("")).alias("seq"))
+    ends = numbered.groupBy("file").agg(F.min("number").alias("first"), F.max(F.when(F.col("v") != "", F.col("number"))).alias("last"))  # a row a file
+    own = numbered.join(ends, "file").filter(F.col("number") <= F.col("last")).withColumn("k", F.col("number") - F.col("first"))
+    pick = lambda n: F.max(F.when(F.col("k") % 4 == n, F.col("v")))
+    four = own.groupBy("file", F.lit(0).alias("block"), F.floor(F.col("k") / 4).alias("line")).agg(pick(0).alias("head"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("quality"))
+    seq = F.coalesce("seq", F.lit(""))
+    sound = F.col("head").startswith("@") & F.coalesce(F.col("plus").startswith("+"), F.lit(False)) & (F.length(seq) == F.length(F.coalesce("quality", F.lit(""))))
+    checked = F.when(sound, seq).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record: "), F.coalesce("head", F.lit("")), F.lit(" in "), F.col("file"))).cast("string"))
+    return four.select("file", "block", "line", _name(F.substring("head", 2, 1 << 30)).alias("name"), checked.alias("seq"))
 
 
 def query_list(spark: SparkSession, arguments: list[str]) -> DataFrame:

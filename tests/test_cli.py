@@ -32,3 +32,10 @@ def test_listing(spark, index, capsys):
     assert said(spark, capsys, "ls", index, "0-1,99", "--rank", "--suffix", "--lcp", "--len", "4") == (0, " 0 17  0 $\n 1 13  0 ACGT\n", "Invalid rank: 99\n")
     assert "Len Suffixes     17" in said(spark, capsys, "summarize", index)[1]
     assert said(spark, capsys, "check", index)[:2] == (0, "sorted\n")
+
+
+def test_sampled_and_facts(spark, index, capsys):
+    assert said(spark, capsys, "count", index, "ACGTA", "X", "--max-query-len", "2", "--sampled")[1] == "ACGTA 4\nX 0\n"
+    assert said(spark, capsys, "lo", index, "AC", "--max-query-len", "2", "--sampled")[1] == "AC\nABC 0,4\nDEF 0,4\n//\n"
+    facts = said(spark, capsys, "summarize", index)[1]
+    assert "File Size" in facts and "Modified" in facts and "ABC, DEF" in facts

@@ -3,12 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexaspan.functions.mask import SeedMask
 from lexaspan.operators import listing, render, search
 from lexaspan.operators.corpus import BuildOptions, sequences
 from lexaspan.operators.index import SuffixIndex
 
+# Inputs and arrays of published results, which the index must give.
 ONE = [("1", "ACGTNnacgt")]
 TWO = [("ABC", "ACGTacgt"), ("DEF", "acgtACGT")]
 THREE = [("1", "AGCTTTTCATTCTGACTGCAACGGGCAATANNNNNNNNNNTGTCTC"), ("2", "TGTGTGGATTAAAAAAAGAGTGTC"), ("3", "TGATAGCAGCTTCTGAACTGGTTACCTGCCGTGAGTAAAT")]
@@ -71,7 +73,7 @@ def test_random_texts(spark):
         seqs = [(str(i), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 7, 40])))) for i in range(9)]
         index = build(spark, seqs, **options)
         assert stored(index) == model(seqs, **options)[1:], (options, seqs)
-        assert listing.disorder(index).count() == 0 or not options
+        assert listing.disorder(index).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -91,6 +93,144 @@ def test_count(spark, three):
     assert sorted(r.query_num for r in search.missing(search.search(three, q), q).collect()) == [3, 5, 6]
 
 
+@pytest.fixture(scope="module")
+def whole(spark):
+    return build(spark, THREE, is_dna=True)
+
+
+def test_count_on_whole_suffixes(spark, whole):
+    q = queries(spark, "AAAAAAA", "TGTCTC", "TGATAGCAGCTTCTGAACTGGTTACCTGCCGTGAGT", "X", "", None, "TGATAGCAGCTTCTGAACTGGTTACCTGCCGTGAGTT")
+    got = {r.query_num: r["count"] for r in search.count(whole, q).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0, 4: whole.len_suffixes, 5: 0, 6: 0}
+
+
+def occurrences(text, q):
+    return [i for i in range(len(text)) if text.startswith(q, i)]
+
+
+@pytest.mark.parametrize("options", [{}, {"is_dna": True}])
+def test_queries_of_any_length_on_whole_suffixes(spark, options):
+    rng = random.Random(3)
+    unit = "".join(rng.choice("ACGT") for _ in range(70))
+    seqs = [("a", unit + "N" * 90 + unit[:50]), ("b", unit), ("c", "ACAC" * 30), ("d", "")]
+    index = build(spark, seqs, **options)
+    text, sa, lcp = model(seqs, **options)
+    assert stored(index) == (sa, lcp) and listing.disorder(index).count() == 0
+    asked = [text[a : a + n] for n in range(1, 65) for a in (rng.randrange(len(text) - n), len(text) - n)] + [unit[:40] + "T" * 9, "N" * 64, "AC" * 32, "ACAC" * 30 + "%$"]
+    q = queries(spark, *asked)
+    indexed = set(sa)
+    want = {k: sorted(i for i in occurrences(text, x) if i in indexed) for k, x in enumerate(asked)}
+    hits = search.search(index, q).collect()
+    assert all(sa[r["rank"]] == r.pos for r in hits) and len({(r.query_num, r.pos) for r in hits}) == len(hits)
+    assert {k: sorted(r.pos for r in hits if r.query_num == k) for k in want} == want
+    assert {r.query_num: r["count"] for r in search.count(index, q).collect()} == {k: len(v) for k, v in want.items()}
+    for x in (asked[60], "N" * 40, "AC" * 20):
+        assert sorted(r.pos for r in search.search_literal(index, x).collect()) == [i for i in occurrences(text, x) if i in indexed]
+
+
+def test_scans_are_pruned(spark, three):
+    """Keys and ranks reach the scan as conditions."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan(three.key_ranges([(b"ACT", b"ACU")]))
+    for df in (three.rank_range(3, 9), listing.list_rows(three, number=4), search.search(three, queries(spark, "ACT"))):
+        assert "GreaterThanOrEqual(at," in plan(df)
+    assert plan(three.rank_range(3, 9)).count("Join") == 1  # with the table of partitions
+
+
+def test_many_ranges_and_fences(spark, monkeypatch):
+    from lexaspan.operators import index as stored_index
+
+    monkeypatch.setattr(stored_index, "FENCE", 4)
+    monkeypatch.setattr(stored_index, "RANGES", 2)
+    rng = random.Random(7)
+    seqs = [(str(i), "".join(rng.choice("AB") for _ in range(40))) for i in range(6)]
+    for options in ({"max_query_len": 7}, {}):
+        index, (text, sa, _) = build(spark, seqs, **options), model(seqs, **options)
+        asked = sorted({"".join(rng.choice("AB%") for _ in range(rng.randrange(1, 12))) for _ in range(60)})
+        cut = [q[: options.get("max_query_len") or None] for q in asked]
+        got = search.search(index, queries(spark, *asked)).collect()
+        assert sorted((r.query_num, r.pos) for r in got) == sorted((k, i) for k, q in enumerate(cut) for i in occurrences(text, q))
+        ranges = {r.query_num: (r.rank_start, r.rank_end) for r in search.rank_ranges_of(index, queries(spark, *asked)).collect()}
+        for k, q in enumerate(cut):
+            ranks = [r for r, i in enumerate(sa) if text.startswith(q, i)]
+            assert ranges[k] == ((ranks[0], ranks[-1] + 1) if ranks else (None, None))
+        assert [r.pos for r in listing.list_rows(index, [5, (0, 3), 9, 200, 5]).orderBy("ordinal").select(F.col("suffix").alias("pos")).collect()] == [sa[r] for r in (5, 0, 1, 2, 9, 200, 5)]
+
+
+def test_sampled_index(spark, three, whole):
+    from lexaspan.operators.sampled import SampledIndex
+
+    text = model(THREE, is_dna=True)[0]
+    for index in (three, whole):
+        sampled = SampledIndex(index, 3)
+        q = queries(spark, "A", "AC", "ACT", "TGTCT", "", None, "N", "GG")
+        got = {r.query_num: r["count"] for r in sampled.count(q).collect()}
+        assert got == {r.query_num: r["count"] for r in search.count(index, q, 3).collect()}
+        hits = sorted((r.query_num, r["rank"], r.pos) for r in sampled.search(q).collect())
+        assert hits == sorted((r.query_num, r["rank"], r.pos) for r in search.search(index, q, 3).collect())
+        assert got[3] == len(occurrences(text, "TGT"))
+    with pytest.raises(ValueError):
+        SampledIndex(three, 41)
+
+
+def test_planted_disorder_is_found(spark, three, whole, tmp_path):
+    """Two neighbours change places, within a partition and across its end."""
+    import shutil
+
+    for index in (three, whole):
+        for spot in ("inside", "across"):
+            rows = index.stored().orderBy("at").collect()
+            parts = [r["at"] >> 33 for r in rows]
+            k = next(i for i in range(1, len(rows) - 1) if (parts[i] != parts[i - 1]) == (spot == "across"))
+            rows = [r.asDict() for r in rows]
+            for c in ("pos", "key", "seq_id", "seq_pos"):
+                rows[k - 1][c], rows[k][c] = rows[k][c], rows[k - 1][c]
+            path = str(tmp_path / f"{spot}-{index is whole}")
+            shutil.copytree(index.path.removeprefix("file://"), path)
+            shutil.rmtree(f"{path}/suffixes")
+            spark.createDataFrame(rows, index.stored().schema).coalesce(1).write.parquet(f"{path}/suffixes")
+            if spot == "across":
+                ends = index.spark.read.parquet(f"{path}/parts").collect()
+                ends = [r.asDict() for r in ends]
+                for r in ends:
+                    if r["part"] == parts[k - 1]:
+                        r["last_key"], r["last_pos"] = rows[k - 1]["key"], rows[k - 1]["pos"]
+                    if r["part"] == parts[k]:
+                        r["first_key"], r["first_pos"] = rows[k]["key"], rows[k]["pos"]
+                schema = index.spark.read.parquet(f"{path}/parts").schema
+                shutil.rmtree(f"{path}/parts")
+                spark.createDataFrame(ends, schema).coalesce(1).write.parquet(f"{path}/parts")
+            assert listing.disorder(SuffixIndex(spark, path)).count() > 0
+        assert listing.disorder(index).count() == 0
+
+
+def test_common_prefixes_of_positions(spark, three):
+    text = model(THREE, is_dna=True)[0]
+    pairs = [(0, 88), (14, 88), (37, 40), (112, 112), (5, 500), (30, 30)]
+    got = {(r.a, r.b): r.lcp for r in search.common_prefixes(three, spark.createDataFrame(pairs, "a long, b long"), 20).collect()}
+    assert got == {(a, b): next((n for n in range(20) if a + n >= len(text) or b + n >= len(text) or text[a + n] != text[b + n]), 20) for a, b in pairs}
+
+
+def test_counts_straight_from_the_text(spark):
+    rng = random.Random(11)
+    seqs = [(str(i), "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 3, 50])))) for i in range(30)]
+    rows = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(seqs)], "seq_id long, seq_name string, bytes string")
+    for scope in ("text", "sequence"):
+        for more in ({"max_query_len": 20, "is_dna": scope == "text"}, {"seed_mask": "110101"}):
+            o = BuildOptions(scope=scope, **more)
+            texts = [model(seqs, **more)[0]] if scope == "text" else [s for _, s in seqs]
+            asked = ["A", "AC", "N", "ACG", "$", "", None, "%", "GT%", "T%A"] + [t[a : a + n] for t in texts if len(t) > 20 for n in (2, 5, 17, 20, 30) for a in (0, len(t) - n)]
+            asked = [q for q in asked if q is None or len(q) <= 40]
+            want = {}
+            for k, q in enumerate(asked):
+                key = (lambda x: SeedMask(o.seed_mask).project(x)) if o.seed_mask else (lambda x: x[: o.max_query_len])
+                cut = None if q is None else key(q)
+                want[k] = sum(1 for t in texts for i in range(len(t)) if cut is not None and (not o.is_dna or t[i] in "ACGT$") and key(t[i : i + 64]).startswith(cut))
+            for piece in (1 << 20, 7) if scope == "text" else (7,):
+                got = {r.query_num: r["count"] for r in search.count_in(sequences(rows, o), queries(spark, *asked), o, piece=piece).collect()}
+                assert got == want, (scope, more)
+
+
 def test_locate(spark, three):
     q = queries(spark, "ACT", "GTT", "X")
     located = search.locate(three, q)

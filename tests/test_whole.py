@@ -62,5 +62,12 @@ def test_other_letters_stay_other(spark, tmp_path):
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
 def test_every_position_is_asked(spark):
-    got, want = against_sql(spark, "string_at_all")
+    got, want = against_sql(spark, "string_at")
     assert got == want and sorted(p for p, _ in got) == list(range(len(got)))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["count_full", "extract_full", "count_requests", "requests_in_texts", "stream_windows"])
+def test_whole_suffixes_and_requests_against_sql(spark, name):
+    got, want = against_sql(spark, name)
+    assert got == want and want
