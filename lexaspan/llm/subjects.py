@@ -2,11 +2,11 @@
 
 Normalised document vectors of a bounded labelled sample are clustered by
 bisecting k-means, with term weights taken anew in every node, so that languages
-part first and subjects below them. Each leaf is labelled by the subjects of its
-members and passes them to its discriminative terms. These only start a sentence
-classifier: rounds of labelling sentences and terms in turn replace their weights.
-A document is the mixture of the best subjects of its sentences, without a look at
-the leaves; subjects whose part of the mixture reaches a threshold are its own.
+part first and subjects below them. The leaves and the ratings tell which terms go
+with which subject; each leaf is labelled by the subjects of its discriminative
+terms and keeps weights of its own. A document is the mixture of the leaves its
+sentences speak for; a subject whose leaves make up enough of the mixture is one of
+the document's.
 """
 
 from __future__ import annotations
@@ -48,9 +48,10 @@ def _weighted(counts: np.ndarray) -> np.ndarray:
 def _bisect(z: np.ndarray, rng: np.random.Generator, trials: int = 3, rounds: int = 8) -> np.ndarray | None:
     """The better of some two-means splits by cosine, or None."""
     best, at = -1.0, None
-    for _ in range(trials):
-        a = z[rng.integers(len(z))]
-        centres = np.stack([a, z[int(np.argmin(z @ a))]])
+    real = z[z.any(axis=1)]  # a document without a weighing term is no centre
+    for _ in range(trials if len(real) > 1 else 0):
+        a = real[rng.integers(len(real))]
+        centres = np.stack([a, real[int(np.argmin(real @ a))]])
         for _ in range(rounds):
             side = np.argmax(z @ centres.T, axis=1)
             if side.min() == side.max():
@@ -88,10 +89,11 @@ def bisecting_leaves(counts: np.ndarray, leaves: int, seed: int = 0, least: int
 
 @dataclass
 class SubjectModel:
-    """What a task needs: term numbers, weights (terms x subjects), names, thresholds."""
+    """What a task needs: term numbers, weights (terms x leaves), the subject of each leaf, names, thresholds."""
 
     terms: dict[str, int]
     weights: np.ndarray
+    leaf_subject: np.ndarray
     subjects: list[str]
     share: float = 0.2
     least_score: float = 0.5
@@ -101,26 +103,24 @@ class SubjectModel:
         get = self.terms.get
         return np.array([-2 if t in _STOPS else get(t, -1) for t in tokens], np.int32)
 
-    def sentence_scores(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of each sentence with a known term, its document, and the distinct telling terms of each document."""
-        doc = np.repeat(np.arange(len(ids)), [len(i) + 1 for i in ids])
-        flat = np.concatenate([x for i in ids for x in (i, np.array([-2], np.int32))]) if ids else np.empty(0, np.int32)
-        sentence = np.cumsum(flat == -2)
-        known = flat >= 0
-        flat, sentence, doc = flat[known], sentence[known], doc[known]
-        if not len(flat):
-            return np.empty((0, len(self.subjects)), np.float32), np.empty(0, np.int64), np.zeros(len(ids), np.int64)
-        first = np.flatnonzero(np.diff(sentence, prepend=-1))
-        telling = self.weights[flat].any(axis=1)
-        kinds = np.unique(doc[telling] * np.int64(len(self.terms)) + flat[telling]) // max(1, len(self.terms))
-        return np.add.reduceat(self.weights[flat], first, axis=0), doc[first], np.bincount(kinds, minlength=len(ids))
+    def leaf_mixtures(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences that speak for each leaf per document, and the distinct telling terms of each document."""
+        flat = np.concatenate([np.append(i, -2) for i in ids]).astype(np.int32) if ids else np.empty(0, np.int32)
+        owner = np.repeat(np.arange(len(ids)), [len(i) + 1 for i in ids])
+        scores, doc, _ = _scored(self, flat, np.cumsum(flat == -2), owner)
+        known = np.append(self.weights.any(axis=1), [False, False])[flat]
+        kinds = np.unique(owner[known] * np.int64(max(1, len(self.terms))) + flat[known]) // max(1, len(self.terms))
+        kinds = np.bincount(kinds, minlength=len(ids))
+        out = np.zeros((len(ids), len(self.leaf_subject)))
+        ok = scores.max(axis=1, initial=0) > self.least_score
+        np.add.at(out, (doc[ok], scores[ok].argmax(axis=1)), 1)
+        return out, kinds
 
     def mixtures(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Sentences of each subject per document, and the distinct telling terms of each document."""
-        scores, doc, kinds = self.sentence_scores(ids)
+        """The same by subject: each leaf counts for its own."""
+        leaf, kinds = self.leaf_mixtures(ids)
         out = np.zeros((len(ids), len(self.subjects)))
-        ok = scores.max(axis=1, initial=0) > self.least_score
-        np.add.at(out, (doc[ok], scores[ok].argmax(axis=1)), 1)
+        np.add.at(out.T, self.leaf_subject, leaf.T)
         return out, kinds
 
     def choose(self, mixture: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -130,12 +130,48 @@ class SubjectModel:
         return (share >= np.maximum(self.share, second)) & (kinds >= self.least_terms)[:, None]
 
 
-def fit_model(tokens: list[list[str]], labels: list[set[int]], subjects: list[str], leaves: int = 120, terms: int = 4096, rounds: int = 6, seed: int = 0) -> SubjectModel:
-    """Model from labelled documents: leaves, their subjects, and the terms that tell them apart.
+def label_leaves(leaf_term: np.ndarray, by_subject: np.ndarray, most: int = 60) -> np.ndarray:
+    """How far each leaf stands for each subject (rows add up to 1), told by its ``most`` discriminative terms.
 
-    After the leaves have labelled the terms, sentences are labelled by their terms
-    and terms by their sentences, ``rounds`` times; the raters' subjects count as
-    two units of evidence, so that single wrong labels lose against the text.
+    ``leaf_term`` counts terms by leaf, ``by_subject`` says how far each term goes with
+    each subject (rows add up to 1, or hold nothing).
+    """
+    own = leaf_term / np.maximum(leaf_term.sum(axis=1, keepdims=True), 1)
+    usual = leaf_term.sum(axis=0) / max(1.0, leaf_term.sum())
+    gain = np.maximum(own * np.log((own + 1e-9) / (usual + 1e-9)), 0)
+    cut = -np.sort(-gain, axis=1)[:, min(most, gain.shape[1]) - 1][:, None]
+    out = np.where(gain >= cut, gain, 0) @ by_subject + 1e-9
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def _term_weights(purity: np.ndarray, prior: np.ndarray, least: float) -> np.ndarray:
+    """Log weights of terms by subject; terms that tell no subject weigh nothing."""
+    relative = purity / prior
+    telling = (relative / relative.sum(axis=1, keepdims=True)).max(axis=1) > least
+    return np.where(telling[:, None], np.log((purity + 1e-3) / (prior + 1e-3)), 0).astype(np.float32)
+
+
+def _leaf_weights(leaf_term: np.ndarray, leaf_subject: np.ndarray, by_subject: np.ndarray, pull: float) -> np.ndarray:
+    """Log weights of terms by leaf: what a term says for the leaf's subject, and how the leaf differs from the others of that subject."""
+    shared = np.zeros((by_subject.shape[1], len(by_subject)))
+    np.add.at(shared, leaf_subject, leaf_term)
+    usual = (shared / np.maximum(shared.sum(axis=1, keepdims=True), 1) + 1e-6)[leaf_subject]
+    own = (leaf_term + pull * usual) / (leaf_term.sum(axis=1, keepdims=True) + pull)
+    return np.where(by_subject.any(axis=1)[:, None], by_subject[:, leaf_subject] + np.log(own / usual).T, 0).astype(np.float32)
+
+
+def fit_model(
+    tokens: list[list[str]], labels: list[set[int]], subjects: list[str], leaves: int = 120, terms: int = 4096, rounds: int = 6, seed: int = 0, pull: float = 3000.0
+) -> SubjectModel:
+    """Model from labelled documents: leaves, the subject of each, and the weights of their terms.
+
+    The subjects of terms come from the leaves that hold them, told by the ratings of
+    their members, and from the ratings of the documents; in ``rounds`` turns the
+    sentences are dealt out to subjects by their terms and the terms counted anew, the
+    raters' subjects as two units of evidence, so that single wrong ratings lose
+    against the text. Each leaf is then labelled by its discriminative terms, and its
+    sentences give its own weights. ``pull`` is how many words of a leaf weigh as much
+    as what all leaves of its subject share.
     """
     n, k = len(tokens), len(subjects)
     df = Counter()
@@ -143,7 +179,7 @@ def fit_model(tokens: list[list[str]], labels: list[set[int]], subjects: list[st
         df.update(set(t))
     often = sorted((w for w, c in df.items() if c >= 4 and c <= max(4, 0.6 * n) and w not in _STOPS), key=lambda w: (-df[w], w))[:terms]
     vocabulary = {w: i for i, w in enumerate(often)}
-    model = SubjectModel(vocabulary, np.zeros((len(vocabulary), k), np.float32), subjects)
+    model = SubjectModel(vocabulary, np.zeros((len(vocabulary), max(1, k)), np.float32), np.arange(max(1, k)), subjects)
     if not n or not vocabulary or not k:
         return model
     ids = [model.code(t) for t in tokens]
@@ -154,32 +190,35 @@ def fit_model(tokens: list[list[str]], labels: list[set[int]], subjects: list[st
         rated[i, list(labels[i])] = 1
     part = rated / np.maximum(rated.sum(axis=1, keepdims=True), 1)
     by_leaf = bisecting_leaves(counts, leaves, seed)
-    leaf_subject = np.stack([(part[r].sum(axis=0) + 0.1) / (part[r].sum() + 0.1 * k) for r in by_leaf])
+    members = np.stack([(part[r].sum(axis=0) + 0.1) / (part[r].sum() + 0.1 * k) for r in by_leaf])
     leaf_term = np.stack([counts[r].sum(axis=0) for r in by_leaf])
-    told = (leaf_term / np.maximum(leaf_term.sum(axis=0), 1)).T @ leaf_subject
+    told = (leaf_term / np.maximum(leaf_term.sum(axis=0), 1)).T @ members
     prior = part.mean(axis=0) + 1e-3
     direct = np.minimum(counts, 3).T @ part + 2 * prior
     purity = (told + direct / direct.sum(axis=1, keepdims=True)) / 2
-    prior = prior / prior.sum()
-    del counts, leaf_term
+    model.weights = _term_weights(purity, prior / prior.sum(), 0.3)
+    del counts
     flat = np.concatenate([np.append(x, -2) for x in ids])
-    sentence = np.cumsum(flat == -2)
-    keep = flat >= 0
-    flat, (_, sentence) = flat[keep], np.unique(sentence[keep], return_inverse=True)
-    for r in range(rounds + 1):
-        relative = purity / prior
-        relative /= relative.sum(axis=1, keepdims=True)
-        model.weights = np.where(relative.max(axis=1, keepdims=True) > (0.3 if r == 0 else 0.5), np.log((purity + 1e-3) / (prior + 1e-3)), 0).astype(np.float32)
-        if r == rounds:
-            break
-        scores, doc, _ = model.sentence_scores(ids)
+    number, owner = np.cumsum(flat == -2), np.repeat(np.arange(n), [len(x) + 1 for x in ids])
+
+    def dealt(groups: int) -> np.ndarray:
+        """Terms by group, each sentence dealt to the one it scores highest in."""
+        scores, doc, sentence = _scored(model, flat, number, owner)
         ok = scores.max(axis=1) > model.least_score
-        best = (scores + 2.0 * rated[doc]).argmax(axis=1)
-        use = ok[sentence]
-        told = np.bincount(flat[use] * k + best[sentence[use]], minlength=len(vocabulary) * k).reshape(-1, k)
+        best = np.full(number[-1] + 2, -1)
+        best[sentence[ok]] = (scores[ok] + 2.0 * rated[doc[ok]][:, model.leaf_subject]).argmax(axis=1)
+        use = (flat >= 0) & (best[number] >= 0)
+        return np.bincount(flat[use] * groups + best[number[use]], minlength=len(vocabulary) * groups).reshape(-1, groups)
+
+    for _ in range(rounds):
+        told = dealt(k)
         purity = (told + 0.05) / (told.sum(axis=0) + 1)
-        purity = purity / purity.sum(axis=1, keepdims=True)
-        prior = np.full(k, 1 / k)
+        purity /= purity.sum(axis=1, keepdims=True)
+        model.weights = _term_weights(purity, np.full(k, 1 / k), 0.5)
+    by_subject = model.weights
+    model.leaf_subject = label_leaves(leaf_term, np.where(by_subject.any(axis=1)[:, None], purity, 0)).argmax(axis=1)
+    model.weights = _leaf_weights(leaf_term, model.leaf_subject, by_subject, pull)
+    model.weights = _leaf_weights(dealt(len(by_leaf)).T, model.leaf_subject, by_subject, pull)
     mixture, kinds = model.mixtures(ids)
 
     def f1(share: float) -> float:
@@ -191,6 +230,16 @@ def fit_model(tokens: list[list[str]], labels: list[set[int]], subjects: list[st
     return model
 
 
+def _scored(model: SubjectModel, flat: np.ndarray, number: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf scores of the sentences with a telling term, their documents and their numbers."""
+    telling = np.append(model.weights.any(axis=1), [False, False])[flat]  # -1 and -2 are the last two
+    own, sentence, doc = flat[telling], number[telling], owner[telling]
+    first = np.flatnonzero(np.diff(sentence, prepend=-1))
+    if not len(own):
+        return np.empty((0, len(model.leaf_subject)), np.float32), doc, sentence
+    return np.add.reduceat(model.weights[own], first, axis=0), doc[first], sentence[first]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_train: int, doc_id: str, text: str) -> tuple[list[list[str]], list[set[int]], list[str]]:
     """At most ``max_train`` labelled documents, least hash of the id first."""
     names = [r.subject for r in subjects.filter("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]  # the stated areas
@@ -217,7 +266,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max
     return tokens, [{number[s] for s in r.s if s in number} for r in rows], names
 
 
-def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train: int = 4000, leaves: int = 120) -> DataFrame:
+def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train: int = 2000, leaves: int = 120) -> DataFrame:
     """``(doc_id, subject, share)``: up to two subjects of each document.
 
     The classifier is fitted on at most ``max_train`` labelled documents (a bound

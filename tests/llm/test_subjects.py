@@ -66,3 +66,17 @@ def test_nothing_to_learn_from(spark):
 
 def test_redirects_and_templates_have_no_tokens():
     assert article_tokens("#redirect: [[a b c]]") == [] and article_tokens("x <includeonly>court") == [] and "court" in article_tokens("# court")
+
+
+def test_the_leaves_decide():
+    """With one leaf for everything there is one subject at most; with enough of them the subjects come out."""
+    docs = corpus(3, 240)
+    names = sorted(AREAS)
+    tokens, labels = [article_tokens(t) for _, t, _ in docs], [{names.index(s) for s in own} for _, _, own in docs]
+    share = {}
+    for leaves in (1, 12):
+        model = fit_model(tokens, labels, names, leaves=leaves)
+        got = model.choose(*model.mixtures([model.code(t) for t in tokens]))
+        share[leaves] = np.mean([set(np.flatnonzero(g)) == own for g, own in zip(got, labels)])
+        assert len(model.leaf_subject) <= leaves
+    assert share[1] < 0.5 and share[12] > 0.95
