@@ -1,10 +1,10 @@
 """Frequency of every distinct value or term (problem 1).
 
 Tasks count terms within each record and add up what they hold before anything
-moves. The partial counts are radix partitioned by hash bits: the shuffle makes
-the first level, and a partition that is too large is split by further bits into
-files in the shared folder, again and again, until DuckDB aggregates each leaf
-within a fixed memory limit (spilling beside the files if it must).
+moves. The partial counts are radix partitioned by bits of their hash: the upper
+bits name the partition of the shuffle, and a partition of more bytes than a leaf
+may hold is split by the lower ones into files in the shared folder, again and
+again, until DuckDB aggregates each leaf within a fixed memory limit.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ def letter_run_counts(texts: DataFrame, text: str, field: str, hold: int = 200_0
     return texts.select(text).mapInArrow(run, PARTIAL)
 
 
-def value_counts(rows: DataFrame, value: str, holder: list[str], part: list[str], field: str) -> DataFrame:
-    """Partial counts of whole values: one row for each value and holder.
+def value_counts(rows: DataFrame, value: str, holder: list[str], part: list[str], field: str, hold: int = 200_000) -> DataFrame:
+    """Partial counts of whole values: what each task holds of a value.
 
     ``holder`` names the record a value counts once in, ``part`` the element
     within it; rows that share holder and part are one element. Null and empty
@@ -96,82 +96,109 @@ def value_counts(rows: DataFrame, value: str, holder: list[str], part: list[str]
     own = rows.select(*[F.col(c).alias(f"h{i}") for i, c in enumerate(holder)], *[F.col(c).alias(f"p{i}") for i, c in enumerate(part)], F.col(value).alias("v"))
     h, p = [f"h{i}" for i in range(len(holder))], [f"p{i}" for i in range(len(part))]
     each = own.groupBy(*h, *p).agg(F.min("v").alias("v"))
-    values = (
-        each.filter("v IS NOT NULL AND v <> ''")
-        .groupBy(*h, "v")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
-        .select(F.lit(field).alias("field"), F.col("v").alias("term"), "occurrences", F.lit(1).cast("bigint").alias("holders"))
-    )
-    # counted a value, not a holder: hot values are added up before they move
-    values = values.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("holders").alias("holders"))
+    values = each.filter("v IS NOT NULL AND v <> ''").groupBy(*h, "v").agg(F.count(F.lit(1)).alias("n")).select("v", "n")
+    ship(rows.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task holds of each value; hot values leave it once, not once a holder."""
+        occ, held = {}, {}
+        for batch in batches:
+            for v, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                occ[v] = occ.get(v, 0) + n
+                held[v] = held.get(v, 0) + 1
+            if len(occ) >= hold:
+                yield from _partial(field, occ, held)
+                occ, held = {}, {}
+        yield from _partial(field, occ, held)
+
+    values = values.mapInArrow(run, PARTIAL)
     n = own.select(*h).distinct().agg(F.count(F.lit(1)).alias("holders"))
     return values.unionByName(n.select(F.lit(field).alias("field"), F.lit("").alias("term"), F.col("holders").alias("occurrences"), "holders"))
 
 
-def _leaf(source, memory_mb: int, folder: str) -> Iterator[pa.RecordBatch]:
-    import duckdb
+class _Leaves:
+    """DuckDB within a memory limit, one for a task; made when the first leaf comes."""
+
+    def __init__(self, memory_mb: int, folder: str) -> None:
+        self.memory_mb, self.folder, self.con = memory_mb, folder, None
+
+    def add_up(self, source) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        if self.con is None:
+            self.con = duckdb.connect()
+            path = local_path(self.folder)
+            # what a leaf can't hold goes beside the files, or nowhere: never to a folder of the machine
+            self.con.execute(f"SET threads = 1; SET memory_limit = '{self.memory_mb}MB'; SET temp_directory = '{path + '-duckdb' if path else ''}'")
+        self.con.register("leaf", source)
+        got = self.con.sql("SELECT field, term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(holders) AS BIGINT) AS holders FROM leaf GROUP BY field, term")
+        yield from (getattr(got, "to_arrow_reader", None) or got.fetch_arrow_reader)(50_000)
+        self.con.unregister("leaf")
+
+    def close(self) -> None:
+        if self.con is not None:
+            self.con.close()
+
 
-    con = duckdb.connect()
+def radix_aggregate(batches: Iterable[pa.RecordBatch], folder: str, leaf_bytes: int, bits: int, memory_mb: int) -> Iterator[pa.RecordBatch]:
+    """Sum one radix partition; beyond ``leaf_bytes`` split it by ``bits`` further bits of ``h``."""
+    leaves = _Leaves(memory_mb, folder)
     try:
-        con.execute(f"SET threads = 1; SET memory_limit = '{memory_mb}MB'")
-        if path := local_path(folder):
-            con.execute(f"SET temp_directory = '{path}-duckdb'")
-        con.register("leaf", source)
-        got = con.execute("SELECT field, term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(holders) AS BIGINT) AS holders FROM leaf GROUP BY field, term")
-        while rows := got.fetchmany(50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+        yield from _split(batches, folder, leaf_bytes, bits, leaves, 0)
     finally:
-        con.close()
+        leaves.close()
 
 
-def radix_aggregate(batches: Iterable[pa.RecordBatch], folder: str, leaf_rows: int, bits: int, memory_mb: int, level: int = 0) -> Iterator[pa.RecordBatch]:
-    """Sum one radix partition; beyond ``leaf_rows`` split it by the next ``bits`` of ``h``."""
+def _split(batches: Iterable[pa.RecordBatch], folder: str, leaf_bytes: int, bits: int, leaves: _Leaves, level: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import dataset, fs, parquet
 
     it, held, n = iter(batches), [], 0
     for b in it:
         if b.num_rows:
             held.append(b)
-            n += b.num_rows
-        if n > leaf_rows:
+            n += b.nbytes
+        if n > leaf_bytes:
             break
-    if not n:
+    if not held:
         return
-    if n <= leaf_rows:
-        yield from _leaf(pa.Table.from_batches(held), memory_mb, folder)
+    if n <= leaf_bytes:
+        yield from leaves.add_up(pa.Table.from_batches(held))
         return
     disk, base = fs.FileSystem.from_uri(folder)
     base = f"{base}/{uuid.uuid4().hex}"
     disk.create_dir(base)
-    fan, writers, rows = 1 << bits, {}, Counter()
+    fan, writers, size = 1 << bits, {}, Counter()
     try:
         for b in chain(held, it):
-            bucket = (b.column("h").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(level * bits)) & np.uint64(fan - 1)
-            for k in np.unique(bucket).tolist():
-                some = b.take(pa.array(np.flatnonzero(bucket == k)))
+            bucket = ((b.column("h").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(level * bits)) & np.uint64(fan - 1)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ordered, at = b.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(fan + 1))
+            for k in np.flatnonzero(np.diff(at)).tolist():
+                some = ordered.slice(int(at[k]), int(at[k + 1] - at[k]))
                 if k not in writers:
                     writers[k] = parquet.ParquetWriter(f"{base}/{k}.parquet", b.schema, filesystem=disk, compression="zstd")
                 writers[k].write_batch(some)
-                rows[k] += some.num_rows
+                size[k] += some.nbytes
         held = []
         for w in writers.values():
             w.close()
         for k in writers:
             source = dataset.dataset(f"{base}/{k}.parquet", filesystem=disk)
-            if rows[k] <= leaf_rows or (level + 2) * bits > 64:
-                yield from _leaf(source, memory_mb, folder)
+            if size[k] <= leaf_bytes or (level + 2) * bits > 40:
+                yield from leaves.add_up(source)
             else:
-                yield from radix_aggregate(source.to_batches(batch_size=65_536), folder, leaf_rows, bits, memory_mb, level + 1)
+                yield from _split(source.to_batches(batch_size=65_536), folder, leaf_bytes, bits, leaves, level + 1)
             disk.delete_file(f"{base}/{k}.parquet")
     finally:
         disk.delete_dir(base)
 
 
-def term_frequencies(partials: list[DataFrame], leaf_rows: int = 1_000_000, bits: int = 4, memory_mb: int = 256, partitions: int | None = None) -> DataFrame:
+def term_frequencies(partials: list[DataFrame], leaf_bytes: int = 1 << 20, bits: int = 4, memory_mb: int = 256, partitions: int | None = None) -> DataFrame:
     """Occurrences and holders of every distinct term over all ``partials``.
 
     Rows: ``(field, term, occurrences, holders)``; the term '' of a field holds
-    the number of its records. Empty inputs give that row at most.
+    the number of its records. Empty inputs give that row at most. ``leaf_bytes``
+    bounds what is aggregated at once; the result doesn't depend on it.
     """
     spark = partials[0].sparkSession
     ship(spark)
@@ -180,8 +207,10 @@ def term_frequencies(partials: list[DataFrame], leaf_rows: int = 1_000_000, bits
     for p in partials[1:]:
         rows = rows.unionByName(p)
     hashed = rows.withColumn("h", F.xxhash64("field", "term"))
+    n = partitions or shuffle_partitions(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from radix_aggregate(batches, folder, leaf_rows, bits, memory_mb)
+        yield from radix_aggregate(batches, folder, leaf_bytes, bits, memory_mb)
 
-    return hashed.repartition(partitions or shuffle_partitions(spark), "h").mapInArrow(run, PARTIAL)
+    upper = F.shiftrightunsigned("h", 40)  # splits go on with the 40 bits below
+    return hashed.repartitionById(n, (upper % n).cast("int")).mapInArrow(run, PARTIAL)
