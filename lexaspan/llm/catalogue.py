@@ -50,7 +50,7 @@ def p2_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return hidden_duplicates(read_table(spark, sf_dir, "sequences"), "seq_id", "bytes", "seq_name", "batch")
+    return hidden_duplicates(read_table(spark, sf_dir, "sequences"), "seq_id", "bytes", "seq_name")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,28 @@ p AS (
   FROM p WHERE e < n)
 SELECT file_id, seq_no, s AS piece_start, e AS piece_end FROM p
 """
+_P2_BALANCED = r"""
+WITH RECURSIVE f AS (SELECT DISTINCT file_id, is_dna, decode(seq) AS t, coalesce(start_positions, [0]) AS st FROM sequence_files WHERE seq IS NOT NULL),
+j AS (SELECT file_id, is_dna, t, st, unnest(range(0, len(st))) AS seq_no FROM f),
+q AS (SELECT file_id, seq_no, substr(t, st[seq_no + 1] + 1, coalesce(st[seq_no + 2] - 1, length(t) - 1) - st[seq_no + 1]) AS x,
+             chr(10) || chr(13) || '-' || CASE WHEN is_dna THEN 'Nn' ELSE 'Xx*' END AS stops FROM j),
+l AS (SELECT file_id, seq_no, length(x) AS n, list_filter(range(1, length(x) + 1), lambda i: contains(stops, x[i]) AND (i = length(x) OR NOT contains(stops, x[i + 1]))) AS ends,
+             list_filter(range(1, length(x) + 1), lambda i: contains(stops, x[i]) AND (i = 1 OR NOT contains(stops, x[i - 1]))) AS begins
+      FROM q WHERE length(x) > 1000),
+b AS (SELECT file_id, seq_no, n, list_transform(ends, lambda e, i: [e - begins[i] + 1, e]) AS cuts, (n - 60 + 939) // 940 AS need FROM l),
+p AS (
+  SELECT file_id, seq_no, n, cuts, total, CAST(total AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(0 AS BIGINT) AS hard
+  FROM (SELECT *, unnest(CASE WHEN (n - 60) // (need + 1) > 141 THEN [need, need + 1] ELSE [need] END) AS total FROM b)
+  UNION ALL
+  SELECT file_id, seq_no, n, cuts, total, k - 1, s, CASE WHEN k = 1 THEN n ELSE coalesce(best, greatest(target, low)) END, hard + CAST(k > 1 AND best IS NULL AS BIGINT)
+  FROM (SELECT *, list_sort(list_transform(list_filter(cuts, lambda c: c[2] >= low AND c[2] <= high), lambda c: [-c[1], abs(c[2] - target), c[2]]))[1][3] AS best
+        FROM (SELECT *, greatest(s + 61, n - (k - 1) * 940, target - 141) AS low, least(s + 1000, target + 141, n - 1) AS high
+              FROM (SELECT *, s + 60 + (n - s - 60) // k AS target
+                    FROM (SELECT file_id, seq_no, n, cuts, total, k, CASE WHEN e IS NULL THEN s ELSE e - 60 END AS s, hard FROM p WHERE k > 0))))),
+h AS (SELECT file_id, seq_no, total, max(hard) AS hard FROM p GROUP BY ALL),
+w AS (SELECT file_id, seq_no, arg_min(total, hard * 1000000 + total) AS total FROM h GROUP BY ALL)
+SELECT file_id, seq_no, total - k - 1 AS piece_no, s AS piece_start, e AS piece_end FROM p JOIN w USING (file_id, seq_no, total) WHERE e IS NOT NULL
+"""
 _P5 = r"""
 WITH x AS (SELECT index_id, any_value(text) AS t, any_value(coalesce(sequence_starts, [0])) AS st, any_value(sequence_names) AS names FROM index_texts WHERE text IS NOT NULL AND index_id IS NOT NULL GROUP BY index_id),
 j AS (SELECT index_id, t, st, names, unnest(range(0, len(st))) AS seq_no FROM x),
@@ -179,6 +201,7 @@ QUERIES = {
 }
 SQL = {
     "p2_found": _P2,
+    "p2_balanced": _P2_BALANCED,
     "p5_found": _P5 + "SELECT index_id, seq_no, span_start, span_end FROM f",
     "p5_shares": _P5
     + """SELECT q.index_id, q.seq_no, q.sequence_name, length(q.s) AS symbols, count(f.span_start) AS n_spans, CAST(coalesce(sum(span_end - span_start), 0) AS BIGINT) AS covered,

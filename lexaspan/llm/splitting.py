@@ -39,32 +39,36 @@ def pieces_last(length: int, ends: np.ndarray, limit: int, overlap: int) -> list
 
 
 def pieces_balanced(length: int, ends: np.ndarray, runs: np.ndarray, limit: int, overlap: int, reach: float = 0.15) -> list[tuple[int, int]]:
-    """The fewest pieces of nearly equal length, each end snapped to the strongest boundary near its target.
-
-    A boundary is stronger the longer its run; ties go to the one nearest the
-    target, then the earlier. Where a snapped piece would exceed the limit, or not
-    go beyond its overlap, one more piece is planned and all targets move.
+    """Pieces of nearly equal length, each end snapped to the strongest boundary near its target; the fewest, or one more.
+
+    After each cut the rest is shared out anew, so one boundary far from its target
+    moves the targets behind it and nothing is planned twice. An end lies at most
+    ``reach`` of a piece from its target, and never where the rest would need more
+    pieces than planned. A boundary is stronger the longer its run; ties go to the one
+    nearest the target, then the earlier. Where the fewest pieces leave ends without
+    a boundary, one piece more is tried and kept if it leaves fewer of them.
     """
-    n = max(1, -(-(length - overlap) // (limit - overlap)))
-    while n < length:
-        step, out, s = (length - overlap) / n, [], 0
-        slack = min(reach * step, max(0.0, limit - overlap - step) + reach * step)
-        for k in range(1, n):
-            target = round(k * step + overlap)
-            low, high = max(s + overlap + 1, target - int(slack)), min(s + limit, target + int(slack), length - 1)
+    room = limit - overlap
+    slack, fewest = int(reach * room), max(1, -(-(length - overlap) // room))
+    best, left = [(0, length)], None
+    for total in (fewest, fewest + 1):
+        if left is not None and (left == 0 or (length - overlap) // total <= slack):
+            break
+        out, s, hard = [], 0, 0
+        for k in range(total - 1, 0, -1):
+            target = s + overlap + (length - s - overlap) // (k + 1)
+            low, high = max(s + overlap + 1, length - k * room, target - slack), min(s + limit, target + slack, length - 1)
             a, b = np.searchsorted(ends, [low, high + 1])
             if a < b:
-                near = min(range(a, b), key=lambda i: (-runs[i], abs(int(ends[i]) - target), ends[i]))
-                e = int(ends[near])
+                e = int(ends[min(range(a, b), key=lambda i: (-runs[i], abs(int(ends[i]) - target), ends[i]))])
             else:
-                e = min(target, s + limit)
+                e, hard = max(target, low), hard + 1
             out.append((s, e))
             s = e - overlap
         out.append((s, length))
-        if all(overlap < e - b <= limit for b, e in out[:-1]) and out[-1][1] - out[-1][0] <= limit:
-            return out
-        n += 1
-    return pieces_last(length, ends, limit, overlap)
+        if left is None or hard < left:
+            best, left = out, hard
+    return best
 
 
 def split_sequences(
@@ -78,8 +82,8 @@ def split_sequences(
 
     ``files`` needs ``file_id, seq, start_positions, is_dna``; other columns are
     ignored. Rows: ``(file_id, seq_no, piece_no, piece_start, piece_end[, piece])``
-    with offsets inside the sequence. ``placement``: 'balanced' plans the fewest
-    equal pieces and snaps their ends; 'last' fills each piece up to the last
+    with offsets inside the sequence. ``placement``: 'balanced' plans equal
+    pieces, the fewest or one more, and snaps their ends; 'last' fills each piece up to the last
     boundary within the limit.
 
     Null ``seq`` gives no piece. Null ``start_positions`` beside a sequence mean

@@ -26,7 +26,7 @@ def test_against_brute_force(spark):
     for i, name, data, *_ in rows:
         if i is not None and (k := canonical(name, data)):
             sets[k].add(i)
-    records, ledger = hidden_duplicates(spark.createDataFrame(rows, SCHEMA), "seq_id", "bytes", "seq_name", "batch", rounds=3)
+    records, ledger = hidden_duplicates(spark.createDataFrame(rows, SCHEMA), "seq_id", "bytes", "seq_name", rounds=3)
     assert sorted((r.first_id, r.n) for r in ledger.collect()) == sorted((min(s), len(s)) for s in sets.values())
     want = {(min(s), i) for s in sets.values() for i in s if i != min(s)}
     for heavy in (10_000, 5):
@@ -35,13 +35,39 @@ def test_against_brute_force(spark):
 
 
 def test_batches_add_up(spark):
-    ledger = Ledger(spark, 2)
+    ledger = Ledger(spark, buckets=2)
     ledger.add(spark.createDataFrame([(b"k", 5), (b"k", 9), (b"m", 2)], "key binary, id long"))
     ledger.add(spark.createDataFrame([(b"k", 3), (b"z", 1)], "key binary, id long"))
     ledger.add(spark.createDataFrame([], "key binary, id long"))
     assert {bytes(r.key): (r.n, r.first_id) for r in ledger.table().collect()} == {b"k": (3, 3), b"m": (1, 2), b"z": (1, 1)}
 
 
+def test_only_touched_buckets_are_written_and_a_ledger_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    ledger = Ledger(spark, path, buckets=64)
+    rows = [(f"key{i}".encode(), i) for i in range(500)]
+    assert ledger.add(spark.createDataFrame(rows, "key binary, id long"), "first") > 60
+    stamps = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    again = Ledger(spark, path)
+    assert again.add(spark.createDataFrame(rows, "key binary, id long"), "first") == 0
+    assert again.add(spark.createDataFrame([(b"key7", 900), (b"key7", 901), (b"key7", 901)], "key binary, id long"), "second") == 1
+    now = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert len(set(now) - set(stamps)) == 1 and len(set(stamps) - set(now)) == 1 and all(now[p] == stamps[p] for p in set(now) & set(stamps))
+    got = {bytes(r.key): (r.n, r.first_id) for r in Ledger(spark, path).table().collect()}
+    assert got == {k: ((3, 7) if i == 7 else (1, i)) for k, i in rows}
+    assert len(list((tmp_path / "ledger/manifest").iterdir())) == 1
+
+
+def test_an_id_in_two_batches_is_an_error(spark):
+    import pytest
+
+    rows = [(1, "a", b"AC", b, 0, "") for b in ("x", "y", "z", "w")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(ValueError):
+        hidden_duplicates(df, "seq_id", "bytes", "seq_name", "batch", rounds=16)
+    assert [(r.first_id, r.n) for r in hidden_duplicates(df, "seq_id", "bytes", "seq_name", rounds=2)[1].collect()] == [(1, 1)]
+
+
 def test_empty_table(spark):
-    records, ledger = hidden_duplicates(spark.createDataFrame([], SCHEMA), "seq_id", "bytes", "seq_name", "batch", rounds=2)
+    records, ledger = hidden_duplicates(spark.createDataFrame([], SCHEMA), "seq_id", "bytes", "seq_name", rounds=2)
     assert ledger.count() == 0 and copy_pairs(records, ledger).count() == 0

@@ -69,5 +69,42 @@ def test_balanced_pieces_are_few_and_even():
     assert pieces_balanced(len(seq), ends, runs, 1000, 60)[0] == (0, 854)  # the longer run wins over the nearer
 
 
+def test_balanced_pieces_are_linear_and_within_one_of_the_fewest():
+    import time
+
+    rng = np.random.default_rng(1)
+    took = {}
+    for n in (100_000, 1_000_000):
+        seq = np.frombuffer(b"ACGTN-", np.uint8)[rng.choice(6, n, p=[0.24, 0.24, 0.24, 0.24, 0.02, 0.02])]
+        began = time.time()
+        got = pieces_balanced(n, *boundaries(seq, True), 1000, 60)
+        took[n] = time.time() - began
+        assert -(-(n - 60) // 940) <= len(got) <= -(-(n - 60) // 940) + 1
+        assert got[0][0] == 0 and got[-1][1] == n and all(60 < e - s <= 1000 for s, e in got) and all(b[0] == a[1] - 60 for a, b in zip(got, got[1:]))
+    assert took[1_000_000] < 30 * max(took[100_000], 0.02)
+    for n in range(3, 40):  # limits hold in the smallest cases too
+        for limit, overlap in ((2, 1), (2, 0), (3, 2), (5, 1), (9, 8)):
+            if n > limit:
+                got = pieces_balanced(n, *boundaries(np.frombuffer(b"A-" * n, np.uint8)[:n], True), limit, overlap)
+                assert got[-1][1] == n and all(overlap < e - s <= limit for s, e in got) and all(b[0] == a[1] - overlap for a, b in zip(got, got[1:]))
+
+
+def test_balanced_against_sql(spark):
+    from pathlib import Path
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        return
+    import duckdb
+
+    from lexaspan.llm import catalogue
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW sequence_files AS SELECT * FROM '{data}/sequence_files.parquet'")
+    cur = con.execute(catalogue.SQL["p2_balanced"])
+    names = [d[0] for d in cur.description]
+    assert sorted(tuple(r) for r in catalogue.p2_balanced(spark, str(data)).select(*names).collect()) == sorted(cur.fetchall())
+
+
 def test_empty_table(spark):
     assert split_sequences(spark.createDataFrame([], SCHEMA)).count() == 0
