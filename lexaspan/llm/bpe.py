@@ -9,6 +9,7 @@ a merge puts the pairs it makes into the index.
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -16,6 +17,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from lexaspan.runtime import ship
@@ -169,18 +171,31 @@ class TextEncoder:
         ]
 
 
+_CODERS: dict[str, TextEncoder] = {}
+
+
+def _coder(path: str) -> TextEncoder:
+    """The coder of a vocabulary, made once in each worker process; the file is the executor's own or the one that was sent."""
+    if path not in _CODERS:
+        _CODERS[path] = TextEncoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+    return _CODERS[path]
+
+
 def encode_texts(df: DataFrame, row_id: str, text: str, path: str = VOCABULARY, block_chars: int = 2_000_000) -> DataFrame:
     """``(row_id, ids)`` of each row: ids of the text exactly as stored, no special tokens.
 
     Null and empty texts give the empty list. A null or repeated id is kept as it
-    is; other columns are ignored. ``path`` names the vocabulary file, which every
-    executor must be able to read.
+    is; other columns are ignored. ``path`` names the vocabulary file, which is sent
+    to the executors.
     """
     ship(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if os.path.exists(path) and os.path.basename(path) not in map(os.path.basename, context.listFiles):
+        context.addFile(path)
     schema = pa.schema([(row_id, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = _coder(path)
         for batch in batches:
             a = 0
             while a < batch.num_rows:
@@ -189,7 +204,6 @@ def encode_texts(df: DataFrame, row_id: str, text: str, path: str = VOCABULARY,
                     texts.append(batch.column(1)[b].as_py())
                     chars += len(texts[-1] or "")
                     b += 1
-                coder = coder or TextEncoder(path)
                 got = coder.encode(texts)
                 offsets = np.zeros(len(got) + 1, np.int64)
                 np.cumsum([len(g) // 4 for g in got], out=offsets[1:])

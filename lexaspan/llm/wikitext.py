@@ -22,11 +22,13 @@ _INLINE = frozenset("b i u s em strong small big sub sup span font abbr code tt
 _QUOTES = re.compile(r"'{2,}")
 _ENTITY = re.compile(r"&(#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);", re.I)
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
-_KEY = re.compile(r"^\s*[^\s=|<>\[\]]{1,40}\s*=")
+_KEY = re.compile(r"^\s*([^\s=|<>\[\]]{1,40})\s*=")
+#: Named arguments that hold what a template shows.
+_SHOWN = frozenset("text quote content 1 2 3".split())
 _WORD = re.compile(r"[^\W_]+")
 
-#: A template whose arguments hold at least so many words is taken for text.
-LONG_TEMPLATE = 8
+#: Words of a named argument of any other name from which on it is taken for text too.
+LONG_ARGUMENT = 8
 
 
 def _entity(m: re.Match) -> str:
@@ -37,10 +39,17 @@ def _entity(m: re.Match) -> str:
     return got
 
 
+def _argument(text: str) -> str | None:
+    """An argument as far as it is shown. Single words are codes, units and dates, as in notes of maintenance."""
+    key = _KEY.match(text)
+    least = 2 if key is None or key.group(1).lower() in _SHOWN else LONG_ARGUMENT
+    own = text[key.end() :] if key else text
+    return own if len(_WORD.findall(own)) >= least else None
+
+
 def _template(m: re.Match) -> str:
-    parts = m.group(1).split("|")[1:]
-    text = " ".join(_KEY.sub("", p) for p in parts)
-    return f" {text} " if len(_WORD.findall(text)) >= LONG_TEMPLATE else ""
+    kept = " ".join(x for x in map(_argument, m.group(1).split("|")[1:]) if x is not None)
+    return f" {kept} " if kept else ""
 
 
 def _link(m: re.Match) -> str:
@@ -86,15 +95,16 @@ def words(text: str) -> list[str]:
 
 
 class WordIds(dict):
-    """Ids of the words of blank-separated pieces, as int32 bytes; unknown words are -1."""
+    """Numbers of the words of blank-separated pieces, as int32 bytes; new words are numbered on."""
 
-    def __init__(self, vocabulary: dict[str, int], keep: int = 200_000) -> None:
+    def __init__(self, keep: int = 200_000) -> None:
         super().__init__()
-        self.vocabulary, self.keep = vocabulary, keep
+        self.vocabulary: dict[str, int] = {}
+        self.keep = keep
 
     def __missing__(self, piece: str) -> bytes:
-        get = self.vocabulary.get
-        found = np.array([get(w, -1) for w in words(piece)], np.int32).tobytes()
+        number = self.vocabulary
+        found = np.array([number.setdefault(w, len(number)) for w in words(piece)], np.int32).tobytes()
         if len(piece) < 64:
             if len(self) >= self.keep:
                 self.clear()
@@ -103,3 +113,7 @@ class WordIds(dict):
 
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
+
+    def forget(self) -> None:
+        self.clear()
+        self.vocabulary.clear()

@@ -14,13 +14,15 @@ ITEM = "The older court ruled that Velmar's ninth harbour had kept 312 boats and
         ("a <!-- hid\nden --> b", "a b"),
         ("one<ref name=\"x\">foot note</ref> two<ref name=y /> three<REF>n</REF>", "one two three"),
         ("[[first]] [[Target (x)|label]] [https://a.b/c outside] [[Category:Z]][[Kategorie:Ort]]", "first label outside"),
-        ("a{{citation needed|12|km|mi}} b {{{p|}}} {{quote|one two three four five six seven eight nine|by=me}}", "a b one two three four five six seven eight nine me"),
+        ("a{{citation needed|12|km|mi}} b {{{p|}}} {{quote|one two three four five six seven eight nine|by=me}}", "a b one two three four five six seven eight nine"),
         ("{| class=\"wikitable\"\n! A !! B\n|-\n| x || style=\"c\" | y\n|}", "a b x y"),
         ("AT&amp;T&nbsp;&#8211;&eacute; &NBSP;x", "at t é x"),
         ("''it'' '''bold''' <b>w</b>ord<br/>next", "it bold word next"),
         ("soft­hyphen zero​width é", "softhyphen zerowidth é"),
         ("{{a|{{b|x}} one two three four five six seven eight}}", "one two three four five six seven eight"),
         ("open {{ [[ <ref> < &", "open"),
+        ("a b {{lang|la|habeas corpus}} c {{quote|six words stand here as quoted}} d{{convert|12|km|mi}}{{when|date=May 2020}}{{cn|reason=not found there}}", "a b habeas corpus c six words stand here as quoted d"),
+        ("{{quote|text=only three words}} {{sfn|Smith|2001|p=4}}", "only three words"),
     ],
 )
 def test_visible_words(text, seen):
@@ -54,8 +56,8 @@ def test_against_brute_force(spark):
     want = {(d, i): n for d, t in docs for i, x in items if (n := longest(t.split(), x.split())) >= 5}
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string").repartition(3)
     it = spark.createDataFrame([(*i, "y") for i in items], "item_id long, text string, doc_id string")
-    for blocks, tokens in ((20_000, 1_500_000), (5, 40)):
-        got = find_leaks(df, it, run=5, block_items=blocks, block_tokens=tokens).collect()
+    for tokens in (1_500_000, 40):
+        got = find_leaks(df, it, run=5, block_tokens=tokens).collect()
         assert {(r.doc_id, r.item_id): r.longest for r in got} == want and len(got) == len(want)
 
 
@@ -107,8 +109,33 @@ def test_a_whole_copy_of_any_item_is_near(spark):
     it = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(tuple(r) for r in find_near(df, it).collect())
     assert {(i, i) for i, _ in items} <= {r[:2] for r in whole} and not any(r[0] == 7 for r in whole)
-    # which words tell doesn't hang on the blocks the items fall into
-    assert sorted(tuple(r) for r in find_near(df, it, block_items=1).collect()) == whole
+    # the result doesn't hang on the blocks the documents fall into
+    assert sorted(tuple(r) for r in find_near(df, it, block_tokens=1).collect()) == whole
+
+
+def test_passages_with_short_templates_are_found(spark):
+    w = ITEM.split()
+    docs = []
+    for n in range(1, 8):  # so many words of the passage are the argument of a template
+        docs.append((n, "x " + " ".join(w[:5]) + " {{lang|la|" + " ".join(w[5 : 5 + n]) + "}} " + " ".join(w[5 + n :]) + " y"))
+        docs.append((100 + n, "x " + " ".join(w[:5]) + " {{sfn|" + "|".join(w[:n][:3]) + "}} " + " ".join(w[5:]) + " y"))
+    it = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r.longest for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
+    whole = len(words(ITEM))
+    assert {d for d in got if got[d] == whole} == {d for d, _ in docs}
+
+
+def test_the_index_is_stored_once_for_all(spark):
+    from lexaspan.llm.leakage import PositionalIndex
+
+    df = spark.createDataFrame([(1, ITEM), (2, "b a b"), (3, None), (3, "b")], "doc_id long, text string").coalesce(1)
+    index = PositionalIndex(df, "doc_id", "text")
+    places = {r.term: list(r.places) for r in index.postings.collect()}
+    assert places["b"] == [1 << 32, (1 << 32) + 2, 2 << 32] and places["a"] == [(1 << 32) + 1] and places["the"] == [0]
+    assert [r.term for r in index.postings.collect()] == sorted(places) and [r.doc_id for r in index.documents.orderBy("number").collect()] == [1, 2, 3]
+    it = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    none = df.limit(0)
+    assert find_leaks(df, it, index=index).count() == 1 and find_leaks(none, it).count() == 0
 
 
 def test_an_alignment_over_two_documents_is_two_leaks(spark):
