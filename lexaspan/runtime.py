@@ -102,7 +102,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out over all cores where it has fewer partitions than cores; larger data isn't moved."""
+    """Rows read from files, dealt out over all cores where they lie in fewer partitions than cores; larger data isn't moved."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
