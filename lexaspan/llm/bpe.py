@@ -20,7 +20,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from lexaspan.runtime import ship
+from lexaspan.runtime import ship, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the public pre-tokenizer pattern, with white space as Unicode's property.
@@ -212,4 +212,4 @@ def encode_texts(df: DataFrame, row_id: str, text: str, path: str = VOCABULARY,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], schema=schema)
                 a = b
 
-    return df.selectExpr(f"CAST(`{row_id}` AS BIGINT) AS `{row_id}`", f"`{text}`").mapInArrow(run, f"`{row_id}` bigint, ids array<int>")
+    return spread(df.selectExpr(f"CAST(`{row_id}` AS BIGINT) AS `{row_id}`", f"`{text}`")).mapInArrow(run, f"`{row_id}` bigint, ids array<int>")

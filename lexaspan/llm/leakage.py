@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaspan.llm.wikitext import WordIds, visible_text, words
-from lexaspan.runtime import materialise, ship
+from lexaspan.runtime import materialise, ship, spread
 
 HITS = "doc_id bigint, item_id bigint, longest int, matched int, item_words int"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("matched", pa.int32()), ("item_words", pa.int32())])
@@ -76,7 +76,7 @@ class PositionalIndex:
                 yield from block(number, ids, parts, known)
 
         own = docs.selectExpr(f"CAST(`{doc_id}` AS BIGINT) AS doc_id", f"`{text}` AS text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
-        stored = materialise(own.mapInArrow(run, "block bigint, term string, places array<bigint>, ids array<bigint>"), "postings")
+        stored = materialise(spread(own).mapInArrow(run, "block bigint, term string, places array<bigint>, ids array<bigint>"), "postings")
         self.postings = stored.filter("term IS NOT NULL").select("block", "term", "places")
         self.documents = stored.filter("ids IS NOT NULL").select("block", F.posexplode("ids").alias("number", "doc_id"))
 

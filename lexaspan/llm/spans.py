@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaspan.runtime import materialise, ship
+from lexaspan.runtime import materialise, ship, spread
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -82,20 +82,23 @@ def anchors(text: np.ndarray, bounds: list[tuple[int, int]], span: int, log_k: i
 
 
 class SharedAutomaton:
-    """Suffix automaton of snippets, each with the first and last sequence that holds it."""
+    """Suffix automaton of snippets, each with the least and greatest record and sequence that hold it.
+
+    ``who`` is (least record, greatest record, least sequence, greatest sequence); a
+    string is shared if either pair differs.
+    """
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
-        self.first: list = [None]
-        self.last: list = [None]
+        self.who: list[tuple | None] = [None]
+        self.of_two: list[bool] = []
 
     def _state(self, length: int, link: int, nxt: dict) -> int:
         self.next.append(nxt)
         self.length.append(length)
         self.link.append(link)
-        self.first.append(None)
-        self.last.append(None)
+        self.who.append(None)
         return len(self.length) - 1
 
     def _split(self, p: int, c, q: int) -> int:
@@ -107,7 +110,7 @@ class SharedAutomaton:
         link[q] = clone
         return clone
 
-    def add(self, text, first, last) -> None:
+    def add(self, text, who: tuple) -> None:
         nxt, link, length = self.next, self.link, self.length
         v = 0
         for c in text:
@@ -124,31 +127,33 @@ class SharedAutomaton:
                     q = nxt[p][c]
                     link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
                 v = new
-            self._hold(v, first, last)
+            self._hold(v, who)
 
-    def _hold(self, v: int, first, last) -> None:
-        if self.first[v] is None or first < self.first[v]:
-            self.first[v] = first
-        if self.last[v] is None or last > self.last[v]:
-            self.last[v] = last
+    def _hold(self, v: int, who: tuple) -> None:
+        old = self.who[v]
+        if old is None:
+            self.who[v] = who
+        elif old != who:
+            self.who[v] = (min(old[0], who[0]), max(old[1], who[1]), min(old[2], who[2]), max(old[3], who[3]))
 
     def finish(self) -> None:
         """Tell each state what its longer states hold."""
         for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.link[v] > 0 and self.first[v] is not None:
-                self._hold(self.link[v], self.first[v], self.last[v])
+            if self.link[v] > 0 and self.who[v] is not None:
+                self._hold(self.link[v], self.who[v])
+        self.of_two = [w is not None and (w[0] != w[1] or w[2] != w[3]) for w in self.who]
 
     def shared(self, text, span: int) -> list[tuple[int, int]]:
         """Maximal stretches of ``text`` covered by shared stretches of ``span`` symbols."""
-        nxt, link, length, first, last = self.next, self.link, self.length, self.first, self.last
+        nxt, link, length, of_two = self.next, self.link, self.length, self.of_two
         out: list[tuple[int, int]] = []
         v = m = 0
         for i, c in enumerate(text):
-            while v and ((q := nxt[v].get(c)) is None or first[q] == last[q]):
+            while v and ((q := nxt[v].get(c)) is None or not of_two[q]):
                 v = link[v]
                 m = length[v]
             q = nxt[v].get(c)
-            if q is None or first[q] == last[q]:
+            if q is None or not of_two[q]:
                 v = m = 0
                 continue
             v, m = q, m + 1
@@ -161,73 +166,118 @@ class SharedAutomaton:
         return out
 
 
-def _anchor_rows(texts: DataFrame, span: int, log_k: int) -> DataFrame:
-    schema = pa.schema([("anchor", pa.int64()), ("record", pa.int64()), ("seq_no", pa.int64()), ("at", pa.int64())])
+#: Places of a sequence whose stretches are looked at together; sequences are stored in pieces of so many.
+PIECE = 1 << 16
+
+
+def _pieces(texts: DataFrame, span: int, reach: int) -> DataFrame:
+    """``(record, seq_no, left, begin, piece)``: each sequence of ``span`` symbols or more in pieces.
+
+    The stretches that begin at ``begin`` and at the ``PIECE`` - 1 places behind it are
+    the piece's own; ``piece`` begins at ``left`` and holds the surroundings of all their anchors.
+    """
+    schema = pa.schema([("record", pa.int64()), ("seq_no", pa.int64()), ("left", pa.int64()), ("begin", pa.int64()), ("piece", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column("text")[k].as_py()
-                flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                bounds = sequence_bounds(len(flat), batch.column("starts")[k].as_py(), text.endswith("$"))
-                # starts out of order have no common pass
-                apart = all(x[1] <= y[0] for x, y in zip(bounds, bounds[1:])) and all(b <= e for b, e in bounds)
-                for part, add in [(bounds, 0)] if apart else [([x], j) for j, x in enumerate(bounds)]:
-                    number, at, h = anchors(flat, part, span, log_k)
-                    if len(at):
-                        cols = (h, np.full(len(at), batch.column("record")[k].as_py()), number + add, at)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
-
-    return texts.mapInArrow(run, "anchor bigint, record bigint, seq_no bigint, at bigint")
-
-
-def _snippet_rows(placed: DataFrame, span: int, log_k: int) -> DataFrame:
-    """Surroundings of each place in ``places`` (seq_no, at, anchor) of a record."""
-    reach = span - (1 << log_k)
+                text, record = batch.column("text")[k].as_py(), batch.column("record")[k].as_py()
+                for j, (b, e) in enumerate(sequence_bounds(len(text), batch.column("starts")[k].as_py(), text.endswith("$"))):
+                    for s in range(0, e - b - span + 1, PIECE):
+                        left = max(0, s - reach)
+                        rows.append((record, j, left, s, text[b + left : min(e, b + s + PIECE + 2 * span)]))
+                        size += len(rows[-1][-1])
+                        if size > 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                            rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return texts.mapInArrow(run, "record bigint, seq_no bigint, left bigint, begin bigint, piece string")
+
+
+def _anchor_rows(pieces: DataFrame, span: int, log_k: int) -> DataFrame:
+    """``(anchor, record, seq_no, number, at)``: the anchors of all pieces, many pieces in one pass."""
+    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "record", "seq_no", "number", "at")])
+
+    def look(rows: list[tuple]) -> pa.RecordBatch:
+        flat = np.frombuffer("".join(r[5] for r in rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds, at = [], 0
+        for _, _, _, left, begin, piece in rows:
+            bounds.append((at + begin - left, at + min(len(piece), begin - left + PIECE + span - 1)))
+            at += len(piece)
+        which, place, h = anchors(flat, bounds, span, log_k)
+        number, record, seq_no, begin = (np.array([r[c] for r in rows], np.int64)[which] for c in (0, 1, 2, 4))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (h, record, seq_no, number, begin + place)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("number", "record", "seq_no", "left", "begin", "piece"))):
+                rows.append(row)
+                size += len(row[5])
+                if size > 1 << 21:
+                    yield look(rows)
+                    rows, size = [], 0
+            if rows:
+                yield look(rows)
+
+    return pieces.mapInArrow(run, "anchor bigint, record bigint, seq_no bigint, number bigint, at bigint")
+
+
+def _snippet_rows(placed: DataFrame, span: int, reach: int) -> DataFrame:
+    """Surroundings of each place in ``places`` (at, anchor) of a piece."""
     schema = pa.schema([("anchor", pa.int64()), ("snippet", pa.string()), ("record", pa.int64()), ("seq_no", pa.int64()), ("begin", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column("text")[k].as_py()
-                bounds = sequence_bounds(len(text), batch.column("starts")[k].as_py(), text.endswith("$"))
-                record, rows = batch.column("record")[k].as_py(), []
-                for p in batch.column("places")[k].as_py():
-                    b, e = bounds[p["seq_no"]]
+            rows = []
+            for record, seq_no, left, piece, places in zip(*(batch.column(c).to_pylist() for c in ("record", "seq_no", "left", "piece", "places"))):
+                for p in places:
                     s = max(0, p["at"] - reach)
-                    rows.append((p["anchor"], text[b + s : min(e, b + p["at"] + span)], record, p["seq_no"], s))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    rows.append((p["anchor"], piece[s - left : p["at"] + span - left], record, seq_no, s))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return placed.mapInArrow(run, "anchor bigint, snippet string, record bigint, seq_no bigint, begin bigint")
 
 
+_WHO = ("r0", "r1", "s0", "s1")
+_OF_TWO = "r0 <> r1 OR s0 <> s1"
+
+
+def _who(of: DataFrame, stored: bool = False) -> list:
+    """The least and greatest record and sequence of a group; they differ if it has two sequences."""
+    return [f(c).alias(n) for f, c, n in zip((F.min, F.max, F.min, F.max), _WHO if stored else ("record", "record", "seq_no", "seq_no"), _WHO)]
+
+
 def _shard_matches(distinct: DataFrame, span: int) -> DataFrame:
     """Shared stretches of each distinct snippet, one automaton an anchor.
 
-    ``distinct``: anchor, snippet and the key and the first and last sequence of each.
+    ``distinct``: anchor, snippet, its key and who holds it.
     """
     schema = pa.schema([("snippet_key", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
     def match(group: list[tuple]) -> list[tuple[bytes, int, int]]:
         if len(group) == 1:  # all states of one string hold what the string holds
-            text, key, first, last = group[0]
-            return [(key, 0, len(text))] if first != last and len(text) >= span else []
+            text, key, who = group[0]
+            return [(key, 0, len(text))] if (who[0] != who[1] or who[2] != who[3]) and len(text) >= span else []
         machine = SharedAutomaton()
-        for text, _, first, last in group:
-            machine.add(text, first, last)
+        for text, _, who in group:
+            machine.add(text, who)
         machine.finish()
-        return [(key, a, b) for text, key, _, _ in group for a, b in machine.shared(text, span)]
+        return [(key, a, b) for text, key, _ in group for a, b in machine.shared(text, span)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, group, rows = None, [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("anchor", "snippet", "snippet_key", "first", "last")]
-            for h, text, key, first, last in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("anchor", "snippet", "snippet_key", *_WHO)]
+            for h, text, key, *who in zip(*cols):
                 if h != anchor:
                     rows += match(group) if group else []
                     anchor, group = h, []
-                group.append((text, key, (first["record"], first["seq_no"]), (last["record"], last["seq_no"])))
+                group.append((text, key, tuple(who)))
             if len(rows) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                 rows = []
@@ -235,18 +285,21 @@ def _shard_matches(distinct: DataFrame, span: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "snippet", "snippet_key", "first", "last").mapInArrow(run, "snippet_key binary, a bigint, b bigint")
+    return distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "snippet", "snippet_key", *_WHO).mapInArrow(run, "snippet_key binary, a bigint, b bigint")
 
 
-def _window_matches(distinct: DataFrame, span: int) -> DataFrame:
+def _window_matches(distinct: DataFrame, span: int, hot: int) -> DataFrame:
     """The same for anchors with too many distinct snippets for one automaton: all their
     stretches of ``span`` symbols, grouped as strings over the whole cluster."""
     windows = distinct.select(
-        "snippet_key", "snippet", "first", "last",
+        "snippet_key", "snippet", *_WHO,
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.char_length("snippet") - span).cast("bigint"))).alias("a"),
-    ).select("snippet_key", "first", "last", "a", F.expr(f"substring(snippet, CAST(a AS INT) + 1, {span})").alias("window"))
-    held = windows.groupBy("window").agg(F.min("first").alias("f"), F.max("last").alias("l")).filter("f <> l").select("window")
-    return windows.join(held, "window").select("snippet_key", "a", (F.col("a") + span).alias("b"))
+    ).select("snippet_key", *_WHO, "a", F.expr(f"substring(snippet, CAST(a AS INT) + 1, {span})").alias("window"))
+    held = windows.groupBy("window").agg(*_who(windows, True), F.count(F.lit(1)).alias("n")).filter(_OF_TWO)
+    held = materialise(held.select("window", "n"), "windows")
+    most = max(hot, (held.agg(F.sum("n")).first()[0] or 0) // 2000)
+    found = _hot_join(windows, held.select("window"), "window", held, most)
+    return found.select("snippet_key", "a", (F.col("a") + span).alias("b"))
 
 
 def _hot_join(rows: DataFrame, small: DataFrame, on: str, counts: DataFrame, most: int) -> DataFrame:
@@ -287,40 +340,40 @@ def shared_spans(
         raise ValueError("span must be at least 4")
     ship(indexes.sparkSession)
     log_k = min(4, max(1, (span // 3).bit_length() - 1))
+    reach = span - (1 << log_k)
     own = indexes.select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text"), F.col(starts).alias("starts")).filter("text IS NOT NULL AND record IS NOT NULL")
-    places = materialise(_anchor_rows(own, span, log_k), "anchors")
-    who = F.struct("record", "seq_no")
-    by_anchor = materialise(
-        places.groupBy("anchor").agg(F.min(who).alias("f"), F.max(who).alias("l"), F.count(F.lit(1)).alias("n")).filter("f <> l").select("anchor", "n"), "shared"
-    )
+    cut = spread(own).transform(_pieces, span, reach).withColumn("number", F.monotonically_increasing_id())
+    pieces = materialise(cut, "pieces")
+    places = materialise(_anchor_rows(pieces, span, log_k), "anchors")
+    by_anchor = materialise(places.groupBy("anchor").agg(*_who(places), F.count(F.lit(1)).alias("n")).filter(_OF_TWO).select("anchor", "n"), "shared")
     most = max(hot, (by_anchor.agg(F.sum("n")).first()[0] or 0) // 2000)
     kept = _hot_join(places, by_anchor.select("anchor"), "anchor", by_anchor, most)
-    lists = kept.groupBy("record").agg(F.collect_set(F.struct("seq_no", "at", "anchor")).alias("places"))
-    once = own.dropDuplicates(["record"])
-    snippets = _snippet_rows(once.join(lists, "record"), span, log_k)
+    lists = kept.groupBy("number").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))  # of one piece at most
+    snippets = _snippet_rows(pieces.join(lists, "number"), span, reach)
     key = F.unhex(F.md5(F.concat_ws("|", F.col("anchor").cast("string"), "snippet").cast("binary")))
     snippets = materialise(snippets.filter(F.char_length("snippet") >= span).withColumn("snippet_key", key), "snippets")
-    distinct = materialise(
-        snippets.groupBy("anchor", "snippet_key").agg(F.first("snippet").alias("snippet"), F.min(who).alias("first"), F.max(who).alias("last"), F.count(F.lit(1)).alias("n")),
-        "distinct",
-    )
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("f"), F.max("last").alias("l"))
-    wide = sizes.filter(F.col("kinds") > group_limit).select("anchor")
-    matches = _shard_matches(distinct.join(wide, "anchor", "left_anti"), span).unionByName(_window_matches(distinct.join(wide, "anchor", "left_semi"), span))
+    distinct = materialise(snippets.groupBy("anchor", "snippet_key").agg(F.first("snippet").alias("snippet"), *_who(snippets), F.count(F.lit(1)).alias("n")), "distinct")
+    wide = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > group_limit).select("anchor")
+    wide = materialise(wide, "wide")
+    matches = _shard_matches(distinct.join(wide, "anchor", "left_anti"), span)
+    if not wide.isEmpty():
+        matches = matches.unionByName(_window_matches(distinct.join(wide, "anchor", "left_semi"), span, hot))
     matches = materialise(matches, "matches")
     counts = distinct.select("snippet_key", "n")
     most = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
     found = _hot_join(snippets.select("snippet_key", "record", "seq_no", "begin"), matches, "snippet_key", counts, most)
-    found = found.select("record", "seq_no", (F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("b")).alias("b")).distinct()
-    seq = Window.partitionBy("record", "seq_no").orderBy("a", "b")
+    found = found.select("record", "seq_no", (F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("b")).alias("b"))
+    # joined within cells of a sequence first, so that a long one isn't one group
+    near = _joined(found.withColumn("cell", F.shiftright("a", 20)), ["record", "seq_no", "cell"])
+    return _joined(near, ["record", "seq_no"]).select(F.col("record").alias(record), "seq_no", F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+
+
+def _joined(runs: DataFrame, group: list[str]) -> DataFrame:
+    """Runs [a, b) of each group, joined where they meet."""
+    seq = Window.partitionBy(*group).orderBy("a", "b")
     reached = F.max("b").over(seq.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        found.withColumn("new", F.when(reached >= F.col("a"), 0).otherwise(1))
-        .withColumn("run", F.sum("new").over(seq))
-        .groupBy("record", "seq_no", "run")
-        .agg(F.min("a").alias("span_start"), F.max("b").alias("span_end"))
-        .select(F.col("record").alias(record), "seq_no", "span_start", "span_end")
-    )
+    marked = runs.withColumn("new", F.when(reached >= F.col("a"), 0).otherwise(1)).withColumn("run", F.sum("new").over(seq))
+    return marked.groupBy(*group, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def shared_shares(indexes: DataFrame, spans: DataFrame, record: str = "index_id", text: str = "text", starts: str = "sequence_starts", names: str = "sequence_names") -> DataFrame:

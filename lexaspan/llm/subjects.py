@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaspan.llm.wikitext import visible_text
-from lexaspan.runtime import ship
+from lexaspan.runtime import ship, spread
 
 _TOKEN = re.compile(r"[^\W\d_]{3,}|[.!?。\n]")
 _STOPS = frozenset(".!?。\n")
@@ -299,4 +299,4 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc
                     ids, coded, size = [], [], 0
 
     own = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).filter("d IS NOT NULL AND t IS NOT NULL")
-    return own.mapInArrow(run, "doc_id bigint, subject string, share double").groupBy("doc_id", "subject").agg(F.round(F.max("share"), 6).alias("share")).withColumnRenamed("doc_id", doc_id)
+    return spread(own).mapInArrow(run, "doc_id bigint, subject string, share double").groupBy("doc_id", "subject").agg(F.round(F.max("share"), 6).alias("share")).withColumnRenamed("doc_id", doc_id)

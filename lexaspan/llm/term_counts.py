@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaspan.runtime import local_path, scratch_path, ship, shuffle_partitions
+from lexaspan.runtime import local_path, scratch_path, ship, shuffle_partitions, spread
 
 PARTIAL = "field string, term string, occurrences bigint, holders bigint"
 _SCHEMA = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("holders", pa.int64())])
@@ -83,7 +83,7 @@ def letter_run_counts(texts: DataFrame, text: str, field: str, hold: int = 200_0
                         occ, held = {}, {}
         yield from _partial(field, occ, held)
 
-    return texts.select(text).mapInArrow(run, PARTIAL)
+    return spread(texts.select(text)).mapInArrow(run, PARTIAL)
 
 
 def value_counts(rows: DataFrame, value: str, holder: list[str], part: list[str], field: str, hold: int = 200_000) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from lexaspan.llm import spans
 from lexaspan.llm.spans import SharedAutomaton, anchors, sequence_bounds, shared_shares, shared_spans
 
 SCHEMA = "index_id long, text string, sequence_starts array<long>, sequence_names array<string>, record string, anchor int"
@@ -51,8 +52,9 @@ def texts(seed, span):
     return rows
 
 
-@pytest.mark.parametrize("seed, span, limit", [(1, 12, 500), (2, 48, 500), (3, 20, 1)])
-def test_against_brute_force(spark, seed, span, limit):
+@pytest.mark.parametrize("seed, span, limit, piece", [(1, 12, 500, 1 << 16), (2, 48, 500, 64), (3, 20, 1, 7)])
+def test_against_brute_force(spark, monkeypatch, seed, span, limit, piece):
+    monkeypatch.setattr(spans, "PIECE", piece)
     rows = texts(seed, span)
     df = spark.createDataFrame(rows + rows[:3], SCHEMA)
     got = [tuple(r) for r in shared_spans(df, span=span, group_limit=limit, hot=20 if limit == 1 else 50_000).collect()]
@@ -79,10 +81,10 @@ def test_equal_stretches_share_an_anchor():
 
 def test_automaton_knows_who_holds_what():
     m = SharedAutomaton()
-    m.add("abcabx", 1, 1)
-    m.add("zabcaz", 2, 2)
-    m.add("qqqq", 1, 1)
-    m.add("qqqq", 1, 1)
+    m.add("abcabx", (1, 1, 0, 0))
+    m.add("zabcaz", (2, 2, 0, 0))
+    m.add("qqqq", (1, 1, 3, 3))
+    m.add("qqqq", (1, 1, 3, 3))
     m.finish()
     assert m.shared("abcabx", 3) == [(0, 4)] and m.shared("zabcaz", 3) == [(1, 5)] and m.shared("qqqq", 2) == []
 
