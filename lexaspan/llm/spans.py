@@ -352,7 +352,7 @@ def shared_spans(
     snippets = _snippet_rows(pieces.join(lists, "number"), span, reach)
     key = F.unhex(F.md5(F.concat_ws("|", F.col("anchor").cast("string"), "snippet").cast("binary")))
     snippets = materialise(snippets.filter(F.char_length("snippet") >= span).withColumn("snippet_key", key), "snippets")
-    distinct = materialise(snippets.groupBy("anchor", "snippet_key").agg(F.first("snippet").alias("snippet"), *_who(snippets), F.count(F.lit(1)).alias("n")), "distinct")
+    distinct = materialise(snippets.groupBy("anchor", "snippet_key", "snippet").agg(*_who(snippets), F.count(F.lit(1)).alias("n")), "distinct")
     wide = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > group_limit).select("anchor")
     wide = materialise(wide, "wide")
     matches = _shard_matches(distinct.join(wide, "anchor", "left_anti"), span)
