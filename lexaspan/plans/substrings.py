@@ -455,15 +455,17 @@ def stream_counts(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """Requests a day for each query string in append mode: rows later than the watermark are dropped, and only closed days come out.
 
-    The requests arrive in two batches, those received before 2025 and the others.
+    The requests arrive in three batches, parted by when they were received: rows of the
+    third whose day had closed by the mark of the first come too late.
     """
     from lexaspan.runtime import scratch_path
     from lexaspan.streaming.queries import count_windows
 
     folder, out = scratch_path(spark, "requests"), scratch_path(spark, "windows")
     rows = read_table(spark, sf_dir, "queries").filter("received_at IS NOT NULL").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
-    for late in (False, True):
-        some = rows.filter((F.col("received_at") >= F.lit("2025-01-01").cast("timestamp_ntz")) == late).select("requested_at", "query")
+    phase = sum((F.col("received_at") >= F.lit(d).cast("timestamp_ntz")).cast("int") for d in ("2024-12-25", "2025-01-01"))
+    for k in range(3):
+        some = rows.filter(phase == k).select("requested_at", "query")
         some.coalesce(1).write.mode("append").parquet(folder)
         time.sleep(0.05)  # a stream takes files in order of their times
     stream = spark.readStream.schema("requested_at timestamp, query string").option("maxFilesPerTrigger", 1).parquet(folder)
@@ -591,8 +593,8 @@ SQL = {
     "mask_positions": "SELECT CAST(i AS INT) AS i, CAST(p AS INT) AS position, CAST(p - i AS INT) AS difference FROM (VALUES (0, 0), (1, 1), (2, 3), (3, 4), (4, 6), (5, 8)) v(i, p)",
     "fasta_scan": "SELECT CAST(p_partkey AS VARCHAR) AS seq_name, regexp_replace(p_name, '\\s', '', 'g') AS bytes FROM part WHERE p_name IS NOT NULL",
     "stream_counts": f"WITH {_PS}{_WITH_NAMES} SELECT query_num, query, count(s.pos) AS count FROM q LEFT JOIN s ON starts_with(s.key, left(q.query, 8)) GROUP BY 1, 2",
-    "stream_windows": "WITH r AS (SELECT requested_at, query, received_at >= TIMESTAMP '2025-01-01' AS late, time_bucket(INTERVAL 1 DAY, requested_at) AS day FROM queries WHERE received_at IS NOT NULL AND requested_at IS NOT NULL), "
-    "m AS (SELECT coalesce((SELECT max(requested_at) FROM r WHERE NOT late), TIMESTAMP '1970-01-04') - INTERVAL 3 DAY AS first_mark, (SELECT max(requested_at) FROM r) - INTERVAL 3 DAY AS last_mark) "
+    "stream_windows": "WITH r AS (SELECT requested_at, query, received_at >= TIMESTAMP '2025-01-01' AS late, received_at < TIMESTAMP '2024-12-25' AS early, time_bucket(INTERVAL 1 DAY, requested_at) AS day FROM queries WHERE received_at IS NOT NULL AND requested_at IS NOT NULL), "
+    "m AS (SELECT coalesce((SELECT max(requested_at) FROM r WHERE early), TIMESTAMP '1970-01-04') - INTERVAL 3 DAY AS first_mark, (SELECT max(requested_at) FROM r) - INTERVAL 3 DAY AS last_mark) "
     "SELECT day, query, count(*) AS n FROM r, m WHERE (NOT late OR day + INTERVAL 1 DAY > first_mark) AND day + INTERVAL 1 DAY <= last_mark GROUP BY 1, 2",
     "count_sampled": _DOC_COUNT.format(16, _q([*_WORDS, ""]), "starts_with(s.key, left(q.query, 5))"),
     "locate_sampled": f"WITH {_PS}{_WITH_NAMES} SELECT query_num, query, rank, pos FROM q JOIN r ON starts_with(r.key, left(q.query, 3))",
