@@ -335,7 +335,8 @@ def text_ranges(index: SuffixIndex, ranges: DataFrame, start: str, end: str, key
     stop = F.least((F.col("cell") + 1) * piece, base + F.col("n"))
     cells = cells.select("cell", begin.alias("b_"), F.substring("own", (begin - base).cast("int") + 1, (stop - begin).cast("int")).alias("part_"))
     touched = F.when(F.col(end) > F.col(start), F.sequence(F.floor(F.col(start) / piece), F.floor((F.col(end) - 1) / piece)))
-    got = own.select("*", F.explode_outer(touched).alias("cell")).join(cells, "cell", "left").withColumn("from_c", F.greatest(F.col(start), F.col("b_"))).withColumn("to_c", F.least(F.col(end), F.col("b_") + F.length("part_")))
+    meets = (F.col("cell") == F.col("cell_")) & (F.col("b_") < F.col(end)) & (F.col("b_") + F.length("part_") > F.col(start))
+    got = own.select("*", F.explode_outer(touched).alias("cell_")).join(cells, meets, "left").withColumn("from_c", F.greatest(F.col(start), F.col("b_"))).withColumn("to_c", F.least(F.col(end), F.col("b_") + F.length("part_")))
     slice_ = F.when(F.col("to_c") > F.col("from_c"), F.struct("from_c", F.substring("part_", (F.col("from_c") - F.col("b_")).cast("int") + 1, (F.col("to_c") - F.col("from_c")).cast("int")).alias("s")))
     others = [c for c in own.columns if c not in key]
     joined = got.groupBy(*key).agg(F.array_sort(F.collect_list(slice_)).alias("l_"), *[F.first(c).alias(c) for c in others])
