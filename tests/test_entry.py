@@ -12,11 +12,11 @@ DATA = Path("/root/testdata/sf0.001")
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert "p4_found" in entry.queries() and "count_queries" in entry.queries()
+    assert "p4_found" in entry.queries() and "count_items" in entry.queries()
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["p4_found", "p4_stats", "count_queries", "count_masked", "locate_rendered", "extract_context", "suffix_array_masked", "lcp_array", "n_runs"])
+@pytest.mark.parametrize("name", ["p4_found", "p4_stats", "count_items", "count_masked", "locate_rendered", "extract_context", "suffix_array_masked", "lcp_array", "n_runs"])
 def test_against_sql(spark, name):
     import duckdb
 
